@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, sharding
+from graphloom.llm import chat, fingerprint, html, langid, sharding, urls
 
 QUERIES = {
     "op3_virtual_slots": sharding.op3_virtual_slots,
+    "op4_content_chunks": fingerprint.op4_content_chunks,
+    "op6_tag_path_ratio": html.op6_tag_path_ratio,
+    "op8_string_kernel": langid.op8_string_kernel,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_url_ratio": urls.op10_url_ratio,
 }
 
 ORACLE = {
