@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, fingerprint, html, langid, sharding, urls
+from graphloom.llm import chat, fingerprint, html, langid, mixing, quality, sharding, urls
 
 QUERIES = {
+    "op1_soft_mixing": mixing.op1_soft_mixing,
     "op3_virtual_slots": sharding.op3_virtual_slots,
     "op4_content_chunks": fingerprint.op4_content_chunks,
     "op6_tag_path_ratio": html.op6_tag_path_ratio,
+    "op7_ordinal_quality": quality.op7_ordinal_quality,
     "op8_string_kernel": langid.op8_string_kernel,
     "op9_chat_format": chat.op9_chat_format,
     "op10_url_ratio": urls.op10_url_ratio,
