@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, fingerprint, html, langid, mixing, quality, sharding, urls
+from graphloom.llm import chat, fingerprint, html, langid, minhash, mixing, quality, sharding, urls
 
 QUERIES = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
     "op3_virtual_slots": sharding.op3_virtual_slots,
     "op4_content_chunks": fingerprint.op4_content_chunks,
+    "op5_dart_minhash": minhash.op5_dart_minhash,
     "op6_tag_path_ratio": html.op6_tag_path_ratio,
     "op7_ordinal_quality": quality.op7_ordinal_quality,
     "op8_string_kernel": langid.op8_string_kernel,
