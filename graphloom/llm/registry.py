@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, fingerprint, html, langid, minhash, mixing, quality, sharding, urls
+from graphloom.llm import chat, decontaminate, fingerprint, html, langid, minhash, mixing, quality, sharding, urls
 
 QUERIES = {
     "op1_soft_mixing": mixing.op1_soft_mixing,
+    "op2_latent_leaks": decontaminate.op2_latent_leaks,
     "op3_virtual_slots": sharding.op3_virtual_slots,
     "op4_content_chunks": fingerprint.op4_content_chunks,
     "op5_dart_minhash": minhash.op5_dart_minhash,
