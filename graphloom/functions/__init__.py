@@ -1 +1 @@
-"""graphloom subpackage."""
+"""Deterministic random numbers and graph generators."""

@@ -1 +1 @@
-"""graphloom subpackage."""
+"""Run configuration, checkpoints and the catalogue of queries."""

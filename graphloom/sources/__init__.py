@@ -1 +1 @@
-"""graphloom subpackage."""
+"""Graphs from text files and from tables; sinks."""
