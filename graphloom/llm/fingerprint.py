@@ -63,10 +63,10 @@ def cuts(data: bytes) -> list[int]:
     n_loose, n_strict, ends, start = len(loose), len(strict), [], 0
     while n - start > MIN:
         i = bisect_left(strict, start + MIN)
-        end = strict[i] if i < n_strict else n + 1
+        end = strict[i] if i < n_strict else n
         if end > start + NORMAL:
             i = bisect_left(loose, start + NORMAL)
-            end = min(loose[i] if i < n_loose else n + 1, start + MAX, n)
+            end = min(loose[i] if i < n_loose else n, start + MAX)
         ends.append(end)
         start = end
     if start < n:
@@ -104,7 +104,7 @@ def parse(fingerprint: str) -> dict[int, int]:
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``fingerprint``: digest:bytes of each distinct chunk."""
-    kept = [c for c in docs.columns if c != "fingerprint"]
+    kept = [c for c in docs.columns if c.lower() != "fingerprint"]
     at = kept.index(text_col)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

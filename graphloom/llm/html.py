@@ -217,7 +217,7 @@ def main_text(page: str | None) -> str:
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` but ``html_col`` and text, n_chars (code points of the text)."""
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    kept = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
     rows = pages.select(*kept, html_col)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

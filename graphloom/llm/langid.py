@@ -109,7 +109,7 @@ def learn(docs: DataFrame, may_learn, lang_col: str = "lang", id_col: str = "doc
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text and lang_pred, score."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), "lang_pred", "score")]
     held = spark.sparkContext.broadcast(model)  # 2**BITS numbers a language
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

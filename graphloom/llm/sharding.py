@@ -8,7 +8,7 @@ Only DataFrame functions touch the rows; the driver sees the map, whose size is
 
 Defined cases: a null text has 0 bytes (and crc32 0); its row still counts 1. A null id is hashed
 like any other value. Rows that agree in id and text share a virtual slot. An empty table gives an
-empty result. Columns of the input with clashing names are kept; working columns get fresh names.
+empty result. Columns of the input named like an added one are replaced; working columns get fresh names.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def shard_by_slots(
         filled[shard] += rows.get(slot, 0)
     place = F.row_number().over(W.partitionBy(n["slot"]).orderBy(id_col, n["crc"], n["size"]))
     out = rec.withColumn(n["at"], place).select(
-        *[F.col(c) for c in docs.columns if c not in ("size", "text_crc32", "virtual_slot", "shard", "slot", "map_version")],
+        *[F.col(c) for c in docs.columns if c.lower() not in ("size", "text_crc32", "virtual_slot", "shard", "slot", "map_version")],
         F.col(n["size"]).alias("size"),
         F.col(n["crc"]).alias("text_crc32"),
         F.col(n["slot"]).alias("virtual_slot"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -128,12 +129,13 @@ class Design:
         self.col, self.row, self.val = number[flat[keep]], row[keep], np.concatenate(value)[keep].astype(np.float64)
         self.n, self.m = len(at), len(self.names)
 
-    def only(self, chosen: np.ndarray) -> None:
-        """Drop the other features."""
-        keep, number = chosen[self.col], np.cumsum(chosen) - 1
-        self.col, self.row, self.val = number[self.col[keep]], self.row[keep], self.val[keep]
-        self.names = self.names[chosen]
-        self.m = len(self.names)
+    def only(self, chosen: np.ndarray) -> Design:
+        """The same rows with the chosen features."""
+        out, keep, number = copy.copy(self), chosen[self.col], np.cumsum(chosen) - 1
+        out.col, out.row, out.val = number[self.col[keep]], self.row[keep], self.val[keep]
+        out.names = self.names[chosen]
+        out.m = len(out.names)
+        return out
 
     def dot(self, w: np.ndarray, size: bool = False) -> np.ndarray:
         return np.bincount(self.row, (np.abs(self.val) if size else self.val) * w[self.col], self.n)

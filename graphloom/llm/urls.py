@@ -10,7 +10,7 @@ however large the input: that bound is why it may be handed to the scan as one a
 Defined cases: a null URL or one without ``://`` has empty host and path, score 0 and verdict
 allow; all other characters fall on one letter of the alphabet, so any text can be scored; repeated
 rows get equal verdicts; with no rejected URL (or an empty table) all is allowed that no rule blocks;
-extra columns pass through, working columns get fresh names.
+extra columns pass through, but those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def filter_urls(
     host, path, rest = split_url(F.col(url_col).cast("string"))
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
     words = F.array(*[F.lit(w) for w in rejected_words]).cast("array<string>")
-    kept = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
+    kept = [F.col(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
 
     def examples(rows: DataFrame) -> DataFrame:
         return rows.select(host.alias("host"), rest.alias("rest")).select(_grams(F.col("rest")).alias("grams"), F.arrays_overlap(F.split("host", "[.\\-]"), words).alias("bad"))
