@@ -1,0 +1,57 @@
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from graphloom.llm.langid import Grams, fit, learn, op8_string_kernel, predict
+
+WORDS = {"aa": "the house of stone and water", "bb": "das haus aus stein und wasser", "cc": "la maison de pierre et eau"}
+
+
+def _rows(n=20):
+    rows, i = [], 0
+    for lang, words in WORDS.items():
+        w = words.split()
+        for k in range(n):
+            rows.append((i, " ".join(w[(k + j * (k % 3 + 1)) % len(w)] for j in range(12)), lang))
+            i += 1
+    return rows
+
+
+def test_contract(spark, sf_dir):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op8_string_kernel(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out and docs[r.doc_id].lang]
+    assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in held]) >= 0.97
+
+
+def test_edge_cases(docs_of):
+    docs = docs_of(_rows())
+    model = learn(docs, F.lit(True))
+    odd = docs_of([(1, None), (2, ""), (3, "123 !?"), (4, "haus und wasser"), (4, "haus und wasser"), (5, "a"), (6, "la maison " * 200_000)]).withColumn("Score", F.lit("x"))
+    got = predict(odd.select("doc_id", "Score", "text"), model).collect()
+    pred = {r.doc_id: r.lang_pred for r in got}
+    assert len(got) == 7 and [pred[i] for i in (1, 2, 3)] == ["und"] * 3 and pred[4] == "bb" and pred[6] == "cc" and pred[5] in WORDS
+    assert predict(odd.select("doc_id", "text"), None).select("lang_pred").distinct().collect()[0][0] == "und"
+    assert learn(docs.limit(0), F.lit(True)) is None and predict(odd.select("doc_id", "text").limit(0), model).isEmpty()
+
+
+def test_unlabelled_and_excluded_rows_teach_nothing(docs_of):
+    rows = [(i, t, None if lang == "cc" else lang) for i, t, lang in _rows()]
+    names, _ = learn(docs_of(rows), F.col("lang") != "bb")
+    assert names == ["aa"]
+
+
+def test_scores_against_the_kernel_itself():
+    """With all rows as landmarks the matrix gives the ridge regression on the exact kernel."""
+    grams = Grams()
+    rows = [(t, lang) for _, t, lang in _rows(6)]
+    sets = [grams(t) for t, _ in rows]
+    names, matrix = fit(sets, [lang for _, lang in rows], landmarks=99, ridge=1e-2)
+    k = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    y = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in rows])
+    want = k @ np.linalg.lstsq(k @ k + 1e-2 * len(rows) * k, k @ y, rcond=1e-10)[0]
+    got = np.array([matrix[s].sum(0) / np.sqrt(len(s)) for s in sets])
+    assert np.abs(got - want).max() < 1e-2
