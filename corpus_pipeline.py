@@ -18,7 +18,7 @@ from graphloom.llm.common import shared_dir, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the labels of those at hand, gives the highest grade."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("keep").select(*docs.columns)
+    return quality.select_quality(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
