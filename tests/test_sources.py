@@ -1,0 +1,39 @@
+import pytest
+
+from graphloom.operators.graph import Graph
+from graphloom.sources import text
+
+
+def test_arcs_round_trip(spark, tmp_path):
+    v = spark.range(1, 6)
+    e = spark.createDataFrame([(1, 2, 1.5), (2, 2, 0.0), (1, 2, 1.5)], "src long, dst long, weight double")
+    text.write_arcs(Graph(v, e), str(tmp_path / "g"))
+    got = text.read_arcs(spark, str(tmp_path / "g"))
+    assert got.vertices.count() == 5
+    assert sorted(map(tuple, got.edges.collect())) == sorted(map(tuple, e.collect()))
+
+
+def test_comments_and_blank_lines_are_skipped(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("c a comment\n\np sp 3 1\nc another\na 1 3 7\n")
+    got = text.read_arcs(spark, str(tmp_path / "g.txt"))
+    assert got.vertices.count() == 3 and [tuple(r) for r in got.edges.collect()] == [(1, 3, 7.0)]
+
+
+def test_a_header_is_needed(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("a 1 3 7\n")
+    with pytest.raises(ValueError):
+        text.read_arcs(spark, str(tmp_path / "g.txt"))
+
+
+def test_values_by_vertex(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("0 1 1\n2\n0 1\n")
+    got = text.read_values(spark, str(tmp_path / "p.txt"), "part", 6)
+    assert [(r.id, r.part) for r in got.orderBy("id").collect()] == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 0), (6, 1)]
+    with pytest.raises(ValueError):
+        text.read_values(spark, str(tmp_path / "p.txt"), "part", 7)
+
+
+def test_adjacency(spark, tmp_path):
+    e = spark.createDataFrame([(1, 2, 1.0), (1, 1, 1.0)], "src long, dst long, weight double")
+    text.write_adjacency(Graph(spark.range(1, 3), e), str(tmp_path / "a"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "a")).collect()) == ["1 1 2", "2"]
