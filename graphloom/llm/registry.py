@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE = {
     "op9_chat_format": chat.OP9_SQL,
+    "op10_url_ratio": urls.OP10_SQL,
 }

@@ -117,7 +117,7 @@ def filter_urls(
 
     def mean(grams: Column, llr: Column) -> Column:
         total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.element_at(llr, g + 1))
-        return F.when(F.size(grams) > 0, F.round(total / F.size(grams), 9)).otherwise(0.0)
+        return F.when(F.size(grams) > 0, F.round(total / F.size(grams), 6)).otherwise(0.0)
 
     # a subquery can't stand inside a higher-order function: it is a column of the projection below
     scored = examples(urls).where(~F.col("bad") & (F.size("grams") > 0)).select("grams", weights.alias("llr"))
@@ -135,3 +135,38 @@ def filter_urls(
 def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+_WORDS = ", ".join(f"'{w}'" for w in REJECTED_HOST_WORDS)
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+
+
+def _smoothed(k: str) -> str:
+    p1 = f"(c.{k} + 1.0) / (n.{k} + {len(ALPHABET)}.0)"
+    p2 = f"CASE WHEN b.{k} > 0 THEN (bc.{k} + b.t{k} * {p1}) / (b.{k} + b.t{k}) ELSE {p1} END"
+    return f"CASE WHEN ab.{k} > 0 THEN (g.{k} + ab.t{k} * ({p2})) / (ab.{k} + ab.t{k}) ELSE {p2} END"
+
+
+# DuckDB: the same models from the grams as strings.
+OP10_SQL = rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS k FROM u),
+s AS (SELECT k, '^^' || regexp_replace(regexp_replace(lower(rest), '[0-9]', '0', 'g'), '[^a-z0/.\-_?=&%:]', '~', 'g') AS s,
+  list_has_any(string_split_regex(host, '[.\-]'), [{_WORDS}]) AS bad FROM h WHERE rest <> ''),
+x AS (SELECT k, bad, substr(s, i, 3) AS g FROM (SELECT k, bad, s, unnest(range(1, length(s) - 1)) AS i FROM s) y),
+g AS (SELECT g, CAST(count(*) FILTER (NOT bad) AS DOUBLE) AS n0, CAST(count(*) FILTER (bad) AS DOUBLE) AS n1 FROM x GROUP BY g),
+bc AS (SELECT substr(g, 2) AS g, sum(n0) AS n0, sum(n1) AS n1 FROM g GROUP BY 1),
+ab AS (SELECT substr(g, 1, 2) AS g, sum(n0) AS n0, sum(n1) AS n1, count(*) FILTER (n0 > 0) AS tn0, count(*) FILTER (n1 > 0) AS tn1 FROM g GROUP BY 1),
+b AS (SELECT substr(g, 1, 1) AS g, sum(n0) AS n0, sum(n1) AS n1, count(*) FILTER (n0 > 0) AS tn0, count(*) FILTER (n1 > 0) AS tn1 FROM bc GROUP BY 1),
+c AS (SELECT substr(g, 2) AS g, sum(n0) AS n0, sum(n1) AS n1 FROM bc GROUP BY 1),
+n AS (SELECT sum(n0) AS n0, sum(n1) AS n1 FROM g),
+llr AS (SELECT g.g, ln({_smoothed("n1")}) - ln({_smoothed("n0")}) AS llr FROM g JOIN bc ON bc.g = substr(g.g, 2) JOIN ab ON ab.g = substr(g.g, 1, 2)
+  JOIN b ON b.g = substr(g.g, 2, 1) JOIN c ON c.g = substr(g.g, 3), n),
+score AS (SELECT k, any_value(bad) AS bad, round(avg(llr), 6) AS score FROM x JOIN llr ON llr.g = x.g GROUP BY k),
+t AS (SELECT greatest(coalesce(quantile_cont(round(score, 3), {1 - FALSE_REJECTS}) FILTER (NOT bad), 0.0), 0.0) AS t FROM score),
+r AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h, (VALUES {_RULES}) rules(v, rh, rp)
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(r.v, CASE WHEN score.score > t.t THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score.score, 0.0) AS score
+FROM h LEFT JOIN score ON score.k = h.k LEFT JOIN r ON r.k = h.k, t
+"""
