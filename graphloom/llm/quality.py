@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import table
 from graphloom.llm.textfeat import BITS, Design, Features, bounded_sample, collect_features
 
-PER_GRADE = 3000
+PER_GRADE = 2500
 #: A text is kept if the highest grade is at least this likely.
 KEEP_FROM = 0.5
 
