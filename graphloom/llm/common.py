@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, rows_a_part: int = 100_000) -> tuple[DataFrame, int]:
+    """``df`` as of ``cut``, in no more partitions than its rows are worth, and the number of its rows."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(max(1, -(-n // rows_a_part))), n
+
+
+def small(df: DataFrame, n: int, most: int = 1_000_000) -> DataFrame:
+    """``df``, of n rows of a few numbers each, marked for broadcast if these are at most so many."""
+    return F.broadcast(df) if n <= most else df
+
+
 def fresh(df: DataFrame, *wanted: str) -> dict[str, str]:
     """Names for working columns that do not clash with those ``df`` has, whatever their case."""
     have = {c.lower() for c in df.columns}

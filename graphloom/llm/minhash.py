@@ -8,10 +8,12 @@ coordinates the earliest dart is kept. Bands of coordinates are joined, and ever
 that could change the classes is checked against the exact similarity of the shingle sets.
 
 Texts with equal sets are one node from the start. In each bucket of a band the first node is compared
-with the others; only buckets in which nodes of different classes remain are gone through again,
-with ever more leaders, until every pair of a bucket was compared or lies in one class. So no link
-between texts that share a bucket is lost, and a group of copies costs a comparison a copy and band.
-With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket in 3 of a million cases.
+with the others. Where nodes of different classes remain in a bucket, their candidates come from an exact
+prefix filter: of sets ordered by rarity, two that are similar enough share one of the rarest fifth of
+either, so many texts around one common passage meet in no bucket. There, ever more leaders are compared
+until each pair of a bucket was compared or lies in one class. So no link is lost between texts that
+share a bucket of a band, and neither a group of copies nor a common passage costs its square. With 24
+bands of 4 rows a pair of similarity 0.8 shares no bucket in 3 of a million cases.
 
 Defined cases: a text without a word (or null) is a class by itself; equal rows are copies of one
 another; class_id is the smallest doc_id of the class (null ids come last); rows with one id and
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, fresh, table
+from graphloom.llm.common import cut, fresh, settle, small, table
 from graphloom.llm.components import components
 from graphloom.llm.words import Hasher, batches, mix, owners, spaced
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Sets whose sizes differ by less than this factor are of one size class or of neighbouring ones.
+SIZE_CLASS = 1.03
 #: Up to so many nodes (16 bytes each) are sent to the executors as a filter; more are joined.
 SENT_NODES = 4_000_000
 
@@ -168,13 +172,10 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "text").mapInArrow(read, "row long, doc_id long, node long, n long, bands array<long>")
 
 
-def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the ``wanted`` (node, row): sorted 32-bit hashes as bytes."""
+def shingle_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, shingles) of the n ``wanted`` (row): sorted 32-bit hashes as bytes."""
     spark = rows.sparkSession
-    chosen = None
-    if wanted.count() <= SENT_NODES:
-        got = wanted.select("row").toPandas()["row"].to_numpy(np.int64)
-        chosen = spark.sparkContext.broadcast(np.sort(got))
+    chosen = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["row"].to_numpy(np.int64))) if n <= SENT_NODES else None
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -195,8 +196,47 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     made = rows.select("row", "text").mapInArrow(read, "row long, node long, shingles binary")
     if chosen is None:
-        made = made.join(wanted.select("row"), "row", "left_semi")
-    return cut(made.select("node", "shingles").dropDuplicates(["node"]))
+        made = made.join(wanted, "row", "left_semi")
+    return settle(made.select("node", "shingles").dropDuplicates(["node"]), 10_000)[0]
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, size, partner): where sets meet of which enough of the rarest shingles may be shared.
+
+    Two sets of n and m shingles are similar only if they share o = t / (1 + t) * (n + m). Then, in any
+    order, one of the first n - o + 1 of the one is among the first m - o + 1 of the other. Shingles
+    are ordered by rarity over ``sets``, and a bucket is a shingle and a pair of size classes, so
+    that o is known well: texts that have only a common passage, or only a common original, don't meet.
+    Of sets in different classes (``size`` and ``partner``) only those of unlike ``size`` are a pair.
+    """
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for i in range(0, b.num_rows, 500):
+                got = [np.frombuffer(x, np.uint32) for x in b.column(1)[i : i + 500].to_pylist()]
+                length = np.array([len(x) for x in got])
+                node = np.repeat(b.column(0)[i : i + 500].to_numpy(), length)
+                size = np.repeat(length, length)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(got).astype(np.int64)), pa.array(size)], names=["node", "bucket", "size"])
+
+    each = sets.mapInArrow(read, "node long, bucket long, size long")
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = each.join(often, "bucket")
+    alone = F.col("size") - F.count(F.lit(1)).over(W.partitionBy("node"))
+    place = alone + F.row_number().over(W.partitionBy("node").orderBy("df", "bucket"))
+    size_class = lambda n: F.floor(F.log(n) / F.lit(math.log(SIZE_CLASS)) + 1e-9)
+    n = F.col("size").cast("double")
+    common = common.withColumn("place", place).where(F.col("place") <= n * (1 - threshold) + 1 + 1e-6)
+    low, high = size_class(F.greatest(F.lit(1.0), F.ceil(n * threshold - 1e-9))), size_class(F.floor(n / threshold + 1e-9))
+    # of larger partners more must be shared, so this place serves those up to a size
+    largest = (n + 1 - F.col("place")) * ((1 + threshold) / threshold) - n
+    high = F.least(high, size_class(F.greatest(F.lit(1.0), largest)) + 1)
+    partners = F.when(high >= low, F.sequence(low, F.greatest(low, high)))
+    spread = common.withColumns({"own": size_class(n), "partner": F.explode(partners)})
+    least = F.ceil(F.pow(F.lit(SIZE_CLASS), F.col("partner").cast("double")) - 1e-6)  # the smallest partner of that class
+    spread = spread.where(F.col("place") <= F.floor(n - threshold / (1 + threshold) * (n + least) + 1e-6) + 1)
+    bucket = F.xxhash64("bucket", F.least("own", "partner"), F.greatest("own", "partner"))
+    return spread.select(bucket.alias("bucket"), "node", F.col("own").alias("size"), "partner")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -220,41 +260,53 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """row (a hash of id and text), doc_id, class_id, class_size, keep: one row for each of ``docs``."""
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(signatures(rows))
-    some = signed.where("n > 0")
     # nodes: distinct sets, each with its first document
-    nodes = some.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    nodes = cut(nodes)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = cut(signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), first, F.count(F.lit(1)).alias("copies")))
     member = nodes.select(F.explode("bands").alias("bucket"), "node", "n", "first")
-    lead = F.struct("first", "node", "n")
-    buckets = member.groupBy("bucket").agg(F.min(lead).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = cut(member.join(buckets, "bucket").select("bucket", "node", "n", "first", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")))
+    buckets = member.groupBy("bucket").agg(F.min(F.struct("first", "node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    member, _ = settle(member.join(buckets, "bucket").select("bucket", "node", "n", "first", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")))
     close = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-9)  # noqa: E731  sets of other sizes can't be so similar
-    sets = shingle_sets(rows, member.groupBy("node").agg(F.first("first.row").alias("row")))
-    pair = (F.least("node", "leader").alias("b"), F.greatest("node", "leader").alias("a"))
-    tested = cut(member.where((F.col("node") != F.col("leader")) & close("n", "leader_n")).select(*pair).distinct())
-    links = cut(similar(tested, sets, threshold))
-    root = cut(components(links))
-    ranked, done = None, 1
-    while True:
-        # what is left: buckets in which nodes after the leaders, of more than one class, have not met
-        left = (member if ranked is None else ranked).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = left.where("node <> leader") if ranked is None else left.where(F.col("rank") > done)
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        left = left.join(mixed, "bucket", "left_semi")
-        if ranked is None:
-            left = left.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("first", "node")))
-        left = cut(left)
-        if left.isEmpty():
-            break
-        ranked, before, done = left.drop("root"), done, done * 4
-        heads = left.where((F.col("rank") > before) & (F.col("rank") <= done)).select("bucket", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), F.col("rank").alias("head_rank"))
-        met = left.where(F.col("rank") > before).join(heads, "bucket").where((F.col("rank") > F.col("head_rank")) & (F.col("root") != F.col("head_root")) & close("n", "head_n"))
-        new = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = cut(new)
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            links = cut(links.union(similar(new, sets, threshold)))
-            root = cut(components(links))
+    wanted, n = settle(member.groupBy("node").agg(F.first("first.row").alias("row")).select("row"))
+    sets = shingle_sets(rows, wanted, n)
+    pairs = member.where((F.col("node") != F.col("leader")) & close("n", "leader_n"))
+    tested, _ = settle(pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct(), 5_000)
+    links, _ = settle(similar(tested, sets, threshold))
+    root, many = components(links)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Buckets in which nodes of more than one class are left."""
+        return rows.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.join(small(root, many), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    left = classed(member.select("bucket", "node", "leader"))
+    open_nodes, n = settle(left.join(mixed(left.where("node <> leader")), "bucket", "left_semi").select("node").distinct())
+    if n:
+        of_open = nodes.select("node", "n", "first").join(small(open_nodes, n), "node", "left_semi")
+        spots, _ = settle(prefixes(sets.join(small(open_nodes, n), "node", "left_semi"), threshold).join(of_open, "node"))
+        ranked, done, leaders = None, 0, 1
+        while True:
+            left = classed(spots if ranked is None else ranked)
+            left = left.join(mixed(left.where(F.col("rank") > done) if ranked is not None else left), "bucket", "left_semi")
+            if ranked is None:
+                left = left.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("first", "node")))
+            left, n = settle(left)
+            if not n:
+                break
+            ranked, before, done, leaders = left.drop("root"), done, done + leaders, leaders * 8
+            heads = left.where((F.col("rank") > before) & (F.col("rank") <= done)).select("bucket", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), F.col("rank").alias("head_rank"), F.col("size").alias("head_size"))
+            met = left.where(F.col("rank") > before).join(heads, "bucket").where((F.col("rank") > F.col("head_rank")) & (F.col("root") != F.col("head_root")) & close("n", "head_n"))
+            met = met.where((F.col("size") == F.col("partner")) | (F.col("size") != F.col("head_size")))
+            new = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            new, n = settle(new, 5_000)
+            if n:
+                tested = tested.unionByName(new)
+                more, n = settle(similar(new, sets, threshold))
+                if n:
+                    links = links.union(more)
+                    root, many = components(links)
     of = nodes.select("node", "first", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = of.groupBy("root").agg(F.min("first").alias("class"), F.sum("copies").alias("class_size"))
     of = of.select("node", "root").join(per, "root").select("node", "class", "class_size")
