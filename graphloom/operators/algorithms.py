@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import superstep
 from graphloom.operators.graph import Graph
-from graphloom.plans.config import RunConfig, cut, few, partitions
+from graphloom.plans.config import RunConfig, as_planned, cut, few, partitions
 
 
 def bfs(graph: Graph, root: int, config: RunConfig | None = None) -> tuple[DataFrame, int]:
@@ -76,5 +76,8 @@ def pagerank(graph: Graph, supersteps: int = 100, damping: float = 0.85, config:
         return given.groupBy("dst").agg((F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("rank") * F.col("p"))).alias("rank")).select(F.col("dst").alias("id"), "rank")
 
     first = graph.vertices.select("id", F.lit(1.0).alias("rank"))
-    rank, _ = superstep.run(first, step, None, RunConfig(supersteps, config.checkpoint_every, config.broadcast_rows))
+    with as_planned(spark, small):
+        rank, _ = superstep.run(first, step, None, RunConfig(supersteps, config.checkpoint_every, config.broadcast_rows))
+        rank = cut(rank)
+    links.unpersist()
     return rank

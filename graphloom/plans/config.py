@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def as_planned(spark: SparkSession, when: bool = True) -> Iterator[None]:
+    """Without adaptive execution, which plans a chain of supersteps anew after each of its broadcasts.
+
+    For chains whose sizes are known; what is made inside should be materialised inside.
+    """
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    if when:
+        spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
