@@ -3,8 +3,8 @@
 Texts are cut into passages of 32 words. Passages of the corpus and of the benchmark, as TF-IDF
 vectors over hashed words, form a matrix A, whose right singular vectors are found by a distributed
 randomised SVD: every task adds up its share of A'(A Omega), and the driver decomposes the sum, of a
-fixed size. The benchmark's rows weigh as much as all the corpus's, so that its own directions are
-in the latent space. Every window of two passages is compared by cosine with every benchmark
+fixed size. The benchmark's rows weigh as much as all the corpus's and are probed more often, so that
+its own directions are in the latent space beside the corpus's main ones. Every window of two passages is compared by cosine with every benchmark
 item; candidates are checked by the longest common subsequence of words, of the whole item and of
 its answer (its last sentence), so edited and reordered-in-part copies are found too.
 
@@ -31,7 +31,8 @@ from graphloom.llm.common import table
 from graphloom.llm.words import Hasher, batches, lettered, owners
 
 BUCKETS, PASSAGE = 1 << 13, 32
-RANK, OVERSAMPLE = 208, 16
+#: Rank of the latent space; random probes of the benchmark's rows and, for the main directions, of the corpus's.
+RANK, ITEM_PROBES, CORPUS_PROBES = 208, 224, 48
 #: Least cosine, and least share of an item's latent length along it, of a candidate.
 COSINE, COVERAGE = 0.5, 0.35
 #: Least share of the item's words in common order: with its answer, and if the answer is cut off.
@@ -193,13 +194,13 @@ def build(texts: DataFrame, items: list[tuple[int, str]], df: np.ndarray, n: int
     if not kept:
         return None
     idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + np.float32(1e-3)
-    total = np.zeros(corpus.shape, np.float32)
-    omega, rows = _omega(corpus.shape[1], seed), 0
+    total = np.zeros((BUCKETS, ITEM_PROBES), np.float32)
+    omega, rows = _omega(ITEM_PROBES, seed + 1), 0
     for _, word, owner, place in passages.words([items[i][1] for i in kept]):
         got = passages.tf(word, owner, place)
         rows += len(got[3])
         _add(total, *got, idf, omega)
-    y = corpus + total.astype(np.float64) * max(n, 1) / max(rows, 1)
+    y = np.concatenate([corpus, total.astype(np.float64) * max(n, 1) / max(rows, 1)], axis=1)
     u, s, _ = np.linalg.svd(y, full_matrices=False)
     rank = min(RANK, int((s > 1e-9 * s[0]).sum()))
     space = (u[:, :rank] * idf[:, None]).astype(np.float32)
@@ -271,7 +272,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> It
         return
     df, n = document_frequencies(texts)
     idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + np.float32(1e-3)
-    corpus = sketch(texts, idf, RANK + OVERSAMPLE)
+    corpus = sketch(texts, idf, CORPUS_PROBES)
     for p in range(passes):
         items = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()  # about ITEMS rows
         index = build(texts, sorted((r.item_id if r.item_id is not None else -1, r.text) for r in items), df, n, corpus)
