@@ -5,11 +5,11 @@ vectors over hashed words, form a matrix A, whose right singular vectors are fou
 randomised SVD: every task adds up its share of A'(A Omega), and the driver decomposes the sum, of a
 fixed size. The benchmark's rows weigh as much as all the corpus's and are probed more often, so that
 its own directions are in the latent space beside the corpus's main ones. Every window of two passages is compared by cosine with every benchmark
-item; candidates are checked by the longest common subsequence of words, of the whole item and of
+item, and with every such window of an item that is longer; a hit on any makes the item a candidate. Candidates are checked by the longest common subsequence of words, of the whole item and of
 its answer (its last sentence), so edited and reordered-in-part copies are found too.
 
-Counts, SVD and search go over all texts, whole; the benchmark is read in passes of at most
-``ITEMS`` items, the only thing whose size decides what is broadcast.
+Counts, SVD and search go over all texts, whole; the benchmark is read in passes of about
+``ITEMS`` windows of items, the only thing whose size decides what is broadcast.
 
 Defined cases: null texts and texts without a letter match nothing, nor do such items; repeated items
 are items of their own; repeated documents are each found; rows of ``find`` are one for each document
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ from graphloom.llm.words import Hasher, batches, lettered, owners
 BUCKETS, PASSAGE = 1 << 13, 32
 #: Rank of the latent space; random probes of the benchmark's rows and, for the main directions, of the corpus's.
 RANK, ITEM_PROBES, CORPUS_PROBES = 208, 224, 48
-#: Least cosine, and least share of an item's latent length along it, of a candidate.
+#: Least cosine, and least share of the latent length of an item's window along it, of a candidate.
 COSINE, COVERAGE = 0.5, 0.35
 #: Least share of the item's words in common order: with its answer, and if the answer is cut off.
 LCS, ANSWER, LCS_ALONE = 0.6, 0.5, 0.8
-#: Benchmark items read in one pass.
+#: Windows of benchmark items read in one pass; an item of up to two passages is one.
 ITEMS = 50_000
 
 
@@ -177,13 +178,14 @@ class Index:
     idf: np.ndarray  # BUCKETS
     space: np.ndarray  # BUCKETS x rank, idf included
     items: list[int]
-    latent: np.ndarray  # items x rank, at length 1
+    latent: np.ndarray  # windows of items x rank, at length 1
     length: np.ndarray
+    owner: np.ndarray  # the place in ``items`` of each window's item
     words: list[list[int]]
     answers: list[list[int]]
 
     def parts(self) -> tuple:
-        return self.idf, self.space, self.items, self.latent, self.length, self.words, self.answers
+        return self.idf, self.space, self.items, self.latent, self.length, self.owner, self.words, self.answers
 
 
 def build(texts: DataFrame, items: list[tuple[int, str]], df: np.ndarray, n: int, corpus: np.ndarray, seed: int = 3) -> Index | None:
@@ -204,12 +206,13 @@ def build(texts: DataFrame, items: list[tuple[int, str]], df: np.ndarray, n: int
     u, s, _ = np.linalg.svd(y, full_matrices=False)
     rank = min(RANK, int((s > 1e-9 * s[0]).sum()))
     space = (u[:, :rank] * idf[:, None]).astype(np.float32)
-    latent = np.stack([_latent(space, found[i]) for i in kept])
+    windows = [(k, part) for k, i in enumerate(kept) for part in item_windows(found[i])]
+    latent, owner = np.stack([_latent(space, part) for _, part in windows]), np.array([k for k, _ in windows])
     length = np.sqrt((latent**2).sum(1))
     good = length > 1e-9
-    kept, latent, length = [k for k, g in zip(kept, good, strict=True) if g], latent[good], length[good]
+    latent, length, owner = latent[good], length[good], owner[good]
     answers = {i: word for i, word in _all_words(passages, [answer_of(items[k][1]) for k in kept])}
-    return Index(idf, space, [items[k][0] for k in kept], latent / length[:, None], length, [found[k].tolist() for k in kept], [answers.get(i, np.zeros(0)).tolist() for i in range(len(kept))])
+    return Index(idf, space, [items[k][0] for k in kept], latent / length[:, None], length, owner, [found[k].tolist() for k in kept], [answers.get(i, np.zeros(0)).tolist() for i in range(len(kept))])
 
 
 def _all_words(passages: Passages, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -219,6 +222,11 @@ def _all_words(passages: Passages, texts: list[str]) -> Iterator[tuple[int, np.n
             yield first + i, word[ends[i] : ends[i + 1]]
 
 
+def item_windows(word: np.ndarray) -> list[np.ndarray]:
+    """An item's windows of two passages, one passage apart; the whole item, if it is no longer than that."""
+    return [word[i : i + 2 * PASSAGE] for i in range(0, max(len(word) - PASSAGE, 1), PASSAGE)]
+
+
 def _latent(space: np.ndarray, word: np.ndarray) -> np.ndarray:
     at, times = np.unique((word >> np.uint64(64 - 13)).astype(np.int64), return_counts=True)
     return np.sqrt(times).astype(np.float32) @ space[at]
@@ -229,7 +237,22 @@ class Search:
 
     def __init__(self, index: Index) -> None:
         self.index, self.passages = index, Passages()
-        self.masks = [(places(w), len(w), places(a), len(a)) for w, a in zip(index.words, index.answers, strict=True)]
+        self.size = np.array([len(w) for w in index.words])
+        self.known, ids = np.unique(np.concatenate([np.array(w, np.uint64) for w in index.words]), return_inverse=True)
+        self.ids, self.here = np.split(ids, np.cumsum(self.size)[:-1]), np.zeros(len(self.known) + 1, bool)
+        self.masks = lru_cache(4096)(self._masks)
+
+    def _masks(self, item: int) -> tuple[dict[int, int], dict[int, int]]:
+        return places(self.index.words[item]), places(self.index.answers[item])
+
+    def _possible(self, part: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Whether so many words of each item are in ``part``, in any order, that the common subsequence can be long enough."""
+        self.here[part] = True
+        self.here[-1] = False
+        ends = np.cumsum(self.size[items])
+        shared = np.add.reduceat(self.here[np.concatenate([self.ids[i] for i in items])], np.append(0, ends[:-1]), dtype=np.int64)
+        self.here[part] = False
+        return shared >= LCS * self.size[items]
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(text, number of the item, cosine, share of the item, share of its answer, first word), by text and item."""
@@ -243,30 +266,54 @@ class Search:
             z[:-1][own[:-1] == own[1:]] += z[1:][own[:-1] == own[1:]]  # a window: a passage and the next of its text
             length = np.sqrt((z**2).sum(1)) + 1e-9
             ends = np.searchsorted(owner, np.arange(owner[-1] + 2))
-            best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-            for block in range(0, len(x.items), 1024):
+            known = np.searchsorted(self.known, word)  # the number of each word among those of items, or one beyond
+            known[self.known[np.minimum(known, len(self.known) - 1)] != word] = len(self.known)
+
+            def around(w: int, last: int, size: int, ends=ends, own=own, start=start) -> slice:
+                # a passage more on either side, and as many words again as a long item has
+                text = own[w]
+                return slice(max(int(ends[text]), int(start[w]) - PASSAGE - size), min(int(ends[text + 1]), int(start[last]) + 3 * PASSAGE + size))
+
+            hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
+            for block in range(0, len(x.owner), 1024):
                 dot = z @ x.latent[block : block + 1024].T
                 near = (dot >= COSINE * length[:, None]) & (dot >= COVERAGE * x.length[block : block + 1024])
-                for w, k in np.argwhere(near).tolist():
-                    text, item = int(own[w]), k + block
-                    masks, size, answer, answer_size = self.masks[item]
-                    # a passage more on either side, and as many words again as a long item has
-                    low = max(int(ends[text]), int(start[w]) - PASSAGE - size)
-                    part = word[low : min(int(ends[text + 1]), int(start[w]) + 3 * PASSAGE + size)].tolist()
-                    share = lcs(masks, size, part) / size
-                    told = lcs(answer, answer_size, part) / answer_size if answer_size else 1.0
+                windows, pieces = np.nonzero(near)
+                cosine, items = dot[windows, pieces] / length[windows], x.owner[pieces + block]
+                kept = self.size[items] > 2 * PASSAGE  # these are looked at below, with their neighbours
+                for some in np.split(np.arange(len(windows)), np.flatnonzero(np.diff(windows)) + 1):
+                    some = some[~kept[some]]
+                    if len(some):
+                        kept[some] = self._possible(known[around(windows[some[0]], windows[some[0]], 2 * PASSAGE)], items[some])
+                for w, k, c in zip(windows[kept].tolist(), items[kept].tolist(), cosine[kept].tolist(), strict=True):
+                    hits.setdefault((int(own[w]), k), []).append((w, c))
+            for (text, item), found in sorted(hits.items()):
+                found.sort()
+                size, best = int(self.size[item]), (0.0, 0.0, 0.0, 0)
+                reach = size // 2 if size > 2 * PASSAGE else 0  # windows of a long item's copy are checked together
+                while found:
+                    w = found[0][0]
+                    n = sum(start[v] <= start[w] + reach for v, _ in found)
+                    group, found = found[:n], found[n:]
+                    part = around(w, group[-1][0], size)
+                    if reach and not self._possible(known[part], np.array([item]))[0]:
+                        continue
+                    masks, answer = self.masks(item)
+                    words, answer_size = word[part].tolist(), len(x.answers[item])
+                    share = lcs(masks, size, words) / size
+                    told = lcs(answer, answer_size, words) / answer_size if answer_size else 1.0
                     if share >= LCS_ALONE or share >= LCS and told >= ANSWER:
-                        now = (share, float(dot[w, k] / length[w]), told, -int(place[start[w]]))
-                        if now > best.get((text, item), (0,)):
-                            best[text, item] = now
-            for (text, item), (share, cosine, told, at_word) in sorted(best.items()):
-                yield first + text, item, cosine, share, told, -at_word
+                        best = max(best, *((share, c, told, -int(place[start[v]])) for v, c in group))
+                if best[0]:
+                    share, cosine, told, at_word = best
+                    yield first + text, item, cosine, share, told, -at_word
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Iterator[Index]:
     texts = docs.select(F.col(text_col).alias("text"))
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    total = asked.count()
+    n_words = F.size(F.split(F.lower("text"), r"[\x00-\x60\x7b-\x7f]+"))
+    total = asked.agg(F.sum(F.greatest(F.lit(1), F.ceil(n_words / PASSAGE) - 1))).first()[0] or 0
     passes = -(-total // ITEMS)
     if not passes:
         return
@@ -274,7 +321,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> It
     idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + np.float32(1e-3)
     corpus = sketch(texts, idf, CORPUS_PROBES)
     for p in range(passes):
-        items = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()  # about ITEMS rows
+        items = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()  # about ITEMS windows
         index = build(texts, sorted((r.item_id if r.item_id is not None else -1, r.text) for r in items), df, n, corpus)
         if index:
             yield index

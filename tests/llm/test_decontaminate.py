@@ -50,6 +50,22 @@ def test_paraphrases(spark, docs_of):
     assert {x.doc_id for x in decontaminate(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in planted}
 
 
+def test_long_items(spark, docs_of):
+    """Items of 100 to 1000 words, as they are and with every sixth word replaced, in longer texts."""
+    r, text, items, docs = _setting(3)
+    long = [(100 + i, text(n) + ". " + text(8) + ".") for i, n in enumerate([60, 100, 150, 200, 250, 400, 600, 1000] * 2)]
+    planted = set()
+    for i, q in long:
+        edited = " ".join(_word(r) if k % 6 == 2 else w for k, w in enumerate(q.split()))
+        docs += [(1000 + i, f"{text(r.randrange(90, 110))} {q} {text(100)}"), (2000 + i, f"{text(r.randrange(90, 110))} {edited} {text(100)}")]
+        planted |= {(1000 + i, i), (2000 + i, i)}
+    docs += [(3000 + i, text(40) + " " + " ".join(q.split()[: len(q.split()) // 2]) + " " + text(40)) for i, q in long]
+    d, b = _frames(spark, docs_of, docs, items + long)
+    got = find(d, b).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == planted and len(got) == len(planted)
+    assert all(x.lcs == 1 for x in got if x.doc_id < 2000)
+
+
 def test_half_an_item_is_no_leak(spark, docs_of):
     _, text, items, docs = _setting(1)
     docs += [(1000 + i, text(40) + " " + " ".join(q.split()[:15]) + " " + text(40)) for i, q in items]
