@@ -34,7 +34,9 @@ from graphloom.llm.words import Hasher, batches, lettered, owners
 BUCKETS, PASSAGE = 1 << 13, 32
 #: Rank of the latent space; random probes of the benchmark's rows and, for the main directions, of the corpus's.
 RANK, ITEM_PROBES, CORPUS_PROBES = 208, 224, 48
-#: Least cosine, and least share of the latent length of an item's window along it, of a candidate.
+#: Least cosine with an item's window of two passages, and least share of the latent length of an item's window along it, of a
+#: candidate. With a shorter item it is less by the root of the item's share of a window: the window has other words beside it,
+#: and a large benchmark's latent space holds those as well.
 COSINE, COVERAGE = 0.5, 0.35
 #: Least share of the item's words in common order: with its answer, and if the answer is cut off.
 LCS, ANSWER, LCS_ALONE = 0.6, 0.5, 0.8
@@ -181,11 +183,12 @@ class Index:
     latent: np.ndarray  # windows of items x rank, at length 1
     length: np.ndarray
     owner: np.ndarray  # the place in ``items`` of each window's item
+    least: np.ndarray  # the least cosine with each window
     words: list[list[int]]
     answers: list[list[int]]
 
     def parts(self) -> tuple:
-        return self.idf, self.space, self.items, self.latent, self.length, self.owner, self.words, self.answers
+        return self.idf, self.space, self.items, self.latent, self.length, self.owner, self.least, self.words, self.answers
 
 
 def build(texts: DataFrame, items: list[tuple[int, str]], df: np.ndarray, n: int, corpus: np.ndarray, seed: int = 3) -> Index | None:
@@ -210,9 +213,10 @@ def build(texts: DataFrame, items: list[tuple[int, str]], df: np.ndarray, n: int
     latent, owner = np.stack([_latent(space, part) for _, part in windows]), np.array([k for k, _ in windows])
     length = np.sqrt((latent**2).sum(1))
     good = length > 1e-9
-    latent, length, owner = latent[good], length[good], owner[good]
+    least = COSINE * np.sqrt(np.array([len(part) for _, part in windows]) / (2 * PASSAGE))
+    latent, length, owner, least = latent[good], length[good], owner[good], least[good].astype(np.float32)
     answers = {i: word for i, word in _all_words(passages, [answer_of(items[k][1]) for k in kept])}
-    return Index(idf, space, [items[k][0] for k in kept], latent / length[:, None], length, owner, [found[k].tolist() for k in kept], [answers.get(i, np.zeros(0)).tolist() for i in range(len(kept))])
+    return Index(idf, space, [items[k][0] for k in kept], latent / length[:, None], length, owner, least, [found[k].tolist() for k in kept], [answers.get(i, np.zeros(0)).tolist() for i in range(len(kept))])
 
 
 def _all_words(passages: Passages, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -277,7 +281,7 @@ class Search:
             hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
             for block in range(0, len(x.owner), 1024):
                 dot = z @ x.latent[block : block + 1024].T
-                near = (dot >= COSINE * length[:, None]) & (dot >= COVERAGE * x.length[block : block + 1024])
+                near = (dot >= x.least[block : block + 1024] * length[:, None]) & (dot >= COVERAGE * x.length[block : block + 1024])
                 windows, pieces = np.nonzero(near)
                 cosine, items = dot[windows, pieces] / length[windows], x.owner[pieces + block]
                 kept = self.size[items] > 2 * PASSAGE  # these are looked at below, with their neighbours

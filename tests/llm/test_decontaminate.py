@@ -66,6 +66,24 @@ def test_long_items(spark, docs_of):
     assert all(x.lcs == 1 for x in got if x.doc_id < 2000)
 
 
+def test_short_items_of_a_large_benchmark(spark, sf_dir, docs_of):
+    """20,000 items, many more than the latent space has directions; those of 15 to 19 words are planted as they are."""
+    r = random.Random(4)
+    texts = [r_.text.split() for r_ in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").collect()]
+    texts = [w for w in texts if len(w) >= 70]
+    items = []
+    for i in range(20_000):
+        w, n = r.choice(texts[100:]), r.randint(15, 19) if i < 100 else r.randint(15, 59)
+        a = r.randrange(len(w) - n + 1)
+        items.append((i, " ".join(w[a : a + n])))
+    docs = []
+    for i, w in enumerate(texts[:100]):
+        a = r.randrange(len(w) + 1)
+        docs.append((i, " ".join([*w[:a], items[i][1], *w[a:]])))
+    got = find(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(i, i) for i in range(100)} <= {(x.doc_id, x.item_id) for x in got}
+
+
 def test_half_an_item_is_no_leak(spark, docs_of):
     _, text, items, docs = _setting(1)
     docs += [(1000 + i, text(40) + " " + " ".join(q.split()[:15]) + " " + text(40)) for i, q in items]
