@@ -2,8 +2,9 @@
 
 A page is read into blocks of text, each with its root-to-leaf tag path. Per path the text length and
 the punctuation of its blocks are summed and divided by their number; the two ratios are fused, smoothed
-along the page, and paths above a threshold are taken as content. The element that holds the
-content gives its blocks in page order, without what lies in elements for menus, adverts,
+along the page, and paths above a threshold are taken as content. The element that holds most
+of the content gives its blocks in page order, and so does all from the first block of content to the last,
+with a headline right before it; without what lies in elements for menus, adverts,
 forms, reader comments and the like.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off or not closed is read
@@ -49,7 +50,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 #: Share of the largest smoothed ratio from which a path is content, width of the smoothing, and the
-#: share of the content that an element must hold for its parent not to be taken.
+#: share of the content that an element must hold for its parent not to be taken whole.
 THRESHOLD, SIGMA, HOLDS = 0.2, 1.0, 0.75
 
 
@@ -206,13 +207,22 @@ def main_text(page: str | None) -> str:
     inside[best] = True
     for x in range(best + 1, len(tags)):
         inside[x] = inside[parent[x]]
-    if outer < 0 and best > 0:  # a headline may stand right before its text's element
-        up = parent[best]
-        beside = [x for x, _, _ in found if not inside[x]]
-        lead = {x for x in beside if parent[x] == up and tags[x] in ("h1", "h2")}
-        for x in lead:
-            inside[x] = True
-    return "\n".join(text for element, _, text in found if inside[element])
+    # content beside that element: from the first block of it to the last; on a page with an article, in articles only
+    told = [False] * len(tags)
+    for x in range(1, len(tags)):
+        told[x] = told[parent[x]] or tags[x] in ("article", "main")
+    chosen = [i for i, (element, path, _) in enumerate(found) if path in content and (outer < 0 or told[element])]
+    first, last = (chosen[0], chosen[-1]) if chosen else (n, -1)
+    above, around = found[first][0] if chosen else 0, set()
+    while above >= 0:
+        around.add(above)
+        above = parent[above]
+    while first > 0 and tags[found[first - 1][0]] in ("h1", "h2", "h3") and parent[found[first - 1][0]] in around and (outer < 0 or told[found[first - 1][0]]):
+        first -= 1  # a headline may stand right before its text's element
+    lead = {x for x, _, _ in found if parent[x] == parent[best] and tags[x] in ("h1", "h2")} if outer < 0 and best > 0 else set()
+    return "\n".join(
+        text for i, (x, _, text) in enumerate(found) if inside[x] or x in lead or first <= i <= last and (outer < 0 or told[x])
+    )
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

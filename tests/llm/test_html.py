@@ -56,6 +56,26 @@ def test_headline_before_the_text():
     assert main_text(f"<body><div class=top-menu>x</div><div id=w><h1>Title</h1><div>{BODY}</div></div></body>") == "Title\n" + WANT
 
 
+LONG = "A long, full sentence; with marks, and with many more words than others have. " * 12
+SHORT = "A short, full sentence; with marks, and words of its own, here and there. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class=post><p>{s}</p><div class=body><p>{l}</p><p>{l}</p></div><p>{s}</p></div></body>",
+        "<body><div id=w><div><h2>One</h2><p>{s}</p></div><div><h2>Two</h2><p>{l}</p><p>{l}</p></div><div><h2>Three</h2><p>{s}</p></div></div></body>",
+        "<body><table><tr><td><p>{s}</p></td></tr><tr><td><p>{l}</p><p>{l}</p></td></tr><tr><td><p>{s}</p></td></tr></table></body>",
+        "<body><article><p>{l}</p><p>{l}</p></article><article><p>{s}</p></article></body>",
+    ],
+)
+def test_unequal_containers(page):
+    page = page.format(s=SHORT, l=LONG)
+    assert main_text(page).split("\n") == [t for x in re.split(r"<[^>]+>", page) if (t := x.strip())]
+    menu = "<div><a href=x>Home</a></div><div><a href=x>All</a></div><div><a href=x>Us</a></div>"
+    assert "Home" not in main_text(page.replace("<body>", f"<body>{menu}"))
+
+
 def test_long_and_deep_pages_end():
     many = "".join(f"<p>Paragraph {i}, with some words.</p>" for i in range(20_000))
     assert main_text(f"<article>{many}</article>").count("\n") == 19_999
