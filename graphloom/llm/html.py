@@ -5,7 +5,9 @@ the punctuation of its blocks are summed and divided by their number; the two ra
 along the page, and paths above a threshold are taken as content. The element that holds most
 of the content gives its blocks in page order, and so does all from the first block of content to the last,
 with a headline right before it; without what lies in elements for menus, adverts,
-forms, reader comments and the like.
+forms, reader comments and the like. An element whose class, id or role marks it as such stays if it is the
+wrapper of the page's articles or of nearly all its text, and if the mark is only one word among others
+(related-work), blocks of paths that are content stay.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off or not closed is read
 as browsers do (open elements end with the page, an unfinished tag is dropped, a new paragraph ends
@@ -42,6 +44,14 @@ MARKS = frozenset(
     " recommended recommendations sidebar widget nav navbar navigation menu breadcrumb breadcrumbs masthead footer copyright"
     " comment comments reply replies respond disqus discussion login search pagination pager toolbar".split()
 )
+REPLIES = frozenset("comment comments reply replies respond disqus discussion".split())
+#: Words after which a mark says what a wrapper has or lacks, and words that leave a mark beside them its meaning.
+MODIFIERS = frozenset("has have with without no not hide show".split())
+STRUCTURE = frozenset(
+    "container wrapper wrap box block list lists group row col column left right top bottom inner outer area bar panel section region"
+    " content item items link links post posts article articles story stories button buttons icon icons text title heading header head body count"
+    " form field site page main primary secondary global mobile desktop message msg slot unit image js".split()
+)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^>]*\Z",
@@ -54,28 +64,62 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 THRESHOLD, SIGMA, HOLDS = 0.2, 1.0, 0.75
 
 
-def _skipped(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in SKIPPED:
-        return True
-    if tag == "header" and not in_article:
-        return True
+#: How an element is marked: by one word among others of its own, as no part of the article, as readers' replies.
+WEAK, STRONG, REPLY = 1, 2, 3
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether the element is skipped for its tag or as hidden, and how its class, id or role marks it."""
+    if tag in SKIPPED or tag == "header" and not in_article:
+        return True, 0
     if not attributes or tag in ("html", "body", "main"):
-        return False
-    words: set[str] = set()
+        return False, 0
+    mark = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, 0
         if name in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z]+", value))
-    if tag == "article":
-        return bool(words & {"comment", "reply"})
-    return bool(words & MARKS) or not in_article and ("header" in words or "complementary" in words or "contentinfo" in words)
+            for token in value.split():
+                words = [w for w in re.split(r"[^a-z]+", token) if w]
+                at = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
+                words = words[:at]  # what follows a modifier isn't what the element is
+                if tag == "article":
+                    mark = max(mark, REPLY if {"comment", "reply"} & set(words) else 0)
+                elif MARKS & set(words):
+                    own = any(w not in MARKS and w not in STRUCTURE for w in words)
+                    mark = max(mark, WEAK if own else REPLY if REPLIES & set(words) else STRONG)
+                elif not in_article and {"header", "complementary", "contentinfo"} & set(words):
+                    mark = max(mark, STRONG)
+    return False, mark
+
+
+def _left_out(found: list[tuple[int, int, str]], parent: list[int], tags: list[str], mark: list[int]) -> list[bool]:
+    """Per element whether it lies in a marked one that is left out. Not left out is one that holds the only
+    articles of the page, or three quarters of all text (all, for replies): it is a wrapper."""
+    n = len(tags)
+    under, size, articles = [False] * n, [0] * n, [0] * n
+    for element, _, text in found:
+        size[element] += len(text)
+    for x in range(1, n):  # elements come after their parents
+        under[x] = under[parent[x]] or mark[x] >= STRONG
+        articles[x] = int(tags[x] in ("article", "main") and mark[x] < STRONG)
+    free = any(articles[x] and not under[x] for x in range(1, n))
+    for x in range(n - 1, 0, -1):
+        size[parent[x]] += size[x]
+        articles[parent[x]] += articles[x]
+    out = [False] * n
+    for x in range(1, n):
+        out[x] = out[parent[x]]
+        if mark[x] >= STRONG and not out[x]:
+            wraps = mark[x] == STRONG and not free and articles[x] or size[x] >= (1 if mark[x] == REPLY else 0.75) * size[0]
+            out[x] = not wraps
+    return out
 
 
-def blocks(page: str) -> tuple[list[tuple[int, int, str]], list[int], list[str]]:
-    """(element, path, text) in page order, and per element its parent and tag. Element 0 is the page."""
-    parent, tags, path_of, skip, article = [-1], ["#"], [0], [False], [False]
+def blocks(page: str) -> tuple[list[tuple[int, int, str]], list[int], list[str], list[int]]:
+    """(element, path, text) in page order, and per element its parent, tag and mark. Element 0 is the page."""
+    parent, tags, path_of, skip, article, mark = [-1], ["#"], [0], [False], [False], [0]
     paths: dict[tuple[int, str], int] = {}
     opened: dict[str, int] = {}
     stack, found, piece = [0], [], []
@@ -116,7 +160,9 @@ def blocks(page: str) -> tuple[list[tuple[int, int, str]], list[int], list[str]]
                 parent.append(top)
                 tags.append(tag)
                 path_of.append(path_of[top])
-                skip.append(skip[top] or bool(attributes) and _skipped(tag, attributes, article[top]))
+                out, how = _marked(tag, attributes, article[top]) if attributes else (False, 0)
+                skip.append(skip[top] or out or how >= STRONG)
+                mark.append(0)
                 article.append(article[top])
                 stack.append(len(tags) - 1)
                 opened[tag] = opened.get(tag, 0) + 1
@@ -145,8 +191,9 @@ def blocks(page: str) -> tuple[list[tuple[int, int, str]], list[int], list[str]]
             parent.append(top)
             tags.append(tag)
             path_of.append(paths.setdefault((path_of[top], tag), len(paths) + 1))
-            out = skip[top] or _skipped(tag, attributes, article[top])
-            skip.append(out)
+            out, how = _marked(tag, attributes, article[top])
+            skip.append(skip[top] or out)
+            mark.append(how)
             article.append(article[top] or tag == "article")
             if not attributes.rstrip().endswith("/") or tag not in ("div", "p"):
                 stack.append(len(tags) - 1)
@@ -157,14 +204,17 @@ def blocks(page: str) -> tuple[list[tuple[int, int, str]], list[int], list[str]]
     if at < len(page) and not skip[stack[-1]]:
         piece.append(entities.unescape(page[at:]))
     flush()
-    return found, parent, tags
+    return found, parent, tags, mark
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the article, joined by one newline."""
     if not page:
         return ""
-    found, parent, tags = blocks(page)
+    found, parent, tags, mark = blocks(page)
+    if any(mark):
+        out = _left_out(found, parent, tags, mark)
+        found = [b for b in found if not out[b[0]]]
     if not found:
         return ""
     # per path: text and punctuation over the number of its blocks
@@ -185,6 +235,12 @@ def main_text(page: str | None) -> str:
         smooth[path] = smooth.get(path, 0) + (fused[path] + sum(a * b for a, b in near) / sum(a for a, _ in near)) / 2 / nodes[path]
     least = THRESHOLD * max(smooth.values())
     content = {p for p, v in smooth.items() if v >= least}
+    if WEAK in mark:  # here the ratio decides
+        weak = [m == WEAK for m in mark]
+        for x in range(1, len(tags)):
+            weak[x] = weak[x] or weak[parent[x]]
+        found = [b for b in found if not weak[b[0]] or b[1] in content or tags[b[0]] in ("h1", "h2", "h3")]
+        n = len(found)
     # the element that holds the content
     mass = [0] * len(tags)
     for element, path, text in found:

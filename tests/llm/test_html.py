@@ -56,6 +56,29 @@ def test_headline_before_the_text():
     assert main_text(f"<body><div class=top-menu>x</div><div id=w><h1>Title</h1><div>{BODY}</div></div></body>") == "Title\n" + WANT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><nav><a>Home</a></nav><div class='layout has-sidebar'><article>{}</article><div class=sidebar><p>Aside, text.</p></div></div></body>",
+        "<body><div class='content no-comments'>{}</div><div class='comments'><p>First, comment; with marks.</p></div></body>",
+        "<body><div class='page with_sidebar' id=layout--no-nav>{}</div></body>",
+        "<body><div class='sidebar'><article>{}</article></div></body>",
+        "<body><div class='widget'>{}<div class='share-buttons'><p>Share, this; now.</p></div></div></body>",
+        "<body><div class=related><article><p>Other, story.</p></article></div><article>{}</article></body>",
+        "<body><article>{}</article><div class='comments'><article><p>Reader, says; a lot, and with marks.</p></article></div></body>",
+    ],
+)
+def test_marked_wrappers(page):
+    assert main_text(page.format(BODY)) == WANT
+
+
+def test_a_marked_section_of_the_article():
+    related = "<section class='related-work'><h2>Related work</h2><p>Others, too, did this; and they wrote of it.</p></section>"
+    for tag in ("article", "div"):
+        page = f"<body><{tag}><section><p>{LONG}</p></section>{related}<section><p>{LONG}</p></section></{tag}></body>"
+        assert main_text(page) == f"{LONG.strip()}\nRelated work\nOthers, too, did this; and they wrote of it.\n{LONG.strip()}"
+
+
 LONG = "A long, full sentence; with marks, and with many more words than others have. " * 12
 SHORT = "A short, full sentence; with marks, and words of its own, here and there. " * 3
 
