@@ -97,6 +97,8 @@ ORACLE: dict[str, str] = {
     "segmented_scan_sum": _with(PART, LAYOUT, select="SELECT dst, slot, CAST(sum(weight) OVER (PARTITION BY dst ORDER BY slot) AS BIGINT) AS val FROM csr"),
     "frontier_v2e": _with(PART, select="SELECT src, dst FROM e WHERE src % 100 = 7"),
     "frontier_e2v": _with(PART, select="SELECT DISTINCT dst AS id FROM e WHERE src % 100 = 7"),
+    "frontier_v2e_all": _with(PART, select="SELECT src, dst FROM e"),
+    "frontier_e2v_all": _with(PART, select="SELECT DISTINCT dst AS id FROM e"),
     "bfs_levels": _with(PART, BFS, select="SELECT v.id, coalesce(level, -1) AS level FROM v LEFT JOIN lev ON lev.id = v.id", recursive=True),
     "bfs_levels_bipartite": _with(SUPP, BFS.replace("SELECT e.dst", "SELECT DISTINCT e.dst"), select="SELECT v.id, coalesce(level, -1) AS level FROM v LEFT JOIN lev ON lev.id = v.id", recursive=True),
     "bfs_reached": _with(PART, BFS, select="SELECT count(*) AS n FROM lev", recursive=True),

@@ -194,6 +194,18 @@ def frontier_e2v(spark, sf_dir):
     return emv.ends_of(emv.edges_of(g, g.vertices.where("id % 100 = 7")))
 
 
+@query
+def frontier_v2e_all(spark, sf_dir):
+    g = part_chain(spark, sf_dir)
+    return emv.edges_of(g, g.vertices).select("src", "dst")
+
+
+@query
+def frontier_e2v_all(spark, sf_dir):
+    g = part_chain(spark, sf_dir)
+    return emv.ends_of(emv.edges_of(g, g.vertices))
+
+
 # ---- breadth-first search
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from graphloom.plans.oracle import ORACLE
 from graphloom.plans.queries import QUERIES
+from graphloom.sources.star import part_chain
 
 
 def test_every_query_has_its_sql():
@@ -13,3 +14,9 @@ def test_every_query_has_its_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE[name])
+
+
+def test_whole_frontiers_expand_every_edge(spark, sf_dir):
+    edges = part_chain(spark, sf_dir).edges.select("src", "dst").collect()
+    assert sorted(QUERIES["frontier_v2e_all"](spark, sf_dir).collect()) == sorted(edges)
+    assert {r.id for r in QUERIES["frontier_e2v_all"](spark, sf_dir).collect()} == {r.dst for r in edges}
