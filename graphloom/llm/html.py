@@ -4,7 +4,7 @@ A page is read into blocks of text, each with its root-to-leaf tag path. Per pat
 the punctuation of its blocks are summed and divided by their number; the two ratios are fused, smoothed
 along the page, and paths above a threshold are taken as content. The element that holds most
 of the content gives its blocks in page order, and so does all from the first block of content to the last,
-with a headline right before it; without what lies in elements for menus, adverts,
+with a headline right before it; an article or main element around the content gives all its blocks; without what lies in elements for menus, adverts,
 forms, reader comments and the like. An element whose class, id or role marks it as such stays if it is the
 wrapper of the page's articles or of nearly all its text, and if the mark is only one word among others
 (related-work), blocks of paths that are content stay.

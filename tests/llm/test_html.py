@@ -17,6 +17,12 @@ def test_generated_pages(spark, sf_dir):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def test_the_ratio_alone_gives_the_same(spark, sf_dir):
+    """With the article's tag made a div, nothing but the ratio finds the text."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").where("html IS NOT NULL").collect()]
+    assert [main_text(re.sub(r"<(/?)article\b", r"<\1div", x)) for x in pages] == [main_text(x) for x in pages]
+
+
 BODY = "<p>First, a sentence; with marks.</p><p>Second\n\t one,  here &amp; <b>there</b>: it ends.</p><ul><li>Item one, yes.<li>Item two, no.</ul>"
 WANT = "First, a sentence; with marks.\nSecond one, here & there: it ends.\nItem one, yes.\nItem two, no."
 
