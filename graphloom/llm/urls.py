@@ -1,16 +1,18 @@
 """Operator 10: URL filter by rules and, where no rule fits, a character language-model ratio.
 
 Two interpolated character Markov models (contexts of 0, 1 and 2 characters, Witten-Bell smoothing)
-are counted over accepted and over rejected URLs. A URL is scored by its length-normalised
-log-likelihood difference; the threshold is calibrated on the accepted URLs themselves.
+are counted over accepted and over rejected URLs: those that the rules allow and block, or any examples
+given. A URL is scored by its length-normalised log-likelihood difference. A quarter of the examples' hosts
+is not counted; the accepted ones among them calibrate the threshold.
 
 DataFrame functions only. The alphabet has 38 characters, so a model has 38**3 = 54,872 numbers
 however large the input: that bound is why it may be handed to the scan as one array.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, score 0 and verdict
 allow; all other characters fall on one letter of the alphabet, so any text can be scored; repeated
-rows get equal verdicts; with no rejected URL (or an empty table) all is allowed that no rule blocks;
-extra columns pass through, but those named like an added one are replaced.
+rows get equal verdicts; without an accepted or without a rejected example (or with an empty table) the
+score is 0 and all is allowed that no rule blocks; without an accepted example among those held out the
+threshold is 0; extra columns pass through, but those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -30,15 +32,10 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-# Words that mark a host as an example of a rejected one.
-REJECTED_HOST_WORDS = (
-    "adult", "ads", "bet", "bets", "bonus", "casino", "cheap", "click", "dating", "escort", "farm", "free",
-    "jackpot", "loan", "lottery", "pill", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "win", "xxx",
-)
 #: "^" pads the start, "0" stands for every digit and "~" for every character that isn't listed.
 ALPHABET = "^abcdefghijklmnopqrstuvwxyz0/.-_?=&%:~"
-#: Share of the accepted URLs that the method may reject.
-FALSE_REJECTS = 0.005
+#: Share of the accepted examples held out that the method may reject, and one in how many hosts is held out.
+FALSE_REJECTS, HELD_OUT = 0.05, 4
 
 
 def split_url(url: Column) -> tuple[Column, Column, Column]:
@@ -68,8 +65,13 @@ def _grams(rest: Column) -> Column:
     return F.when(F.length(rest) > 0, whole[0]).otherwise(F.array().cast("array<int>"))
 
 
-def model(urls: DataFrame, grams: str, rejected: str) -> DataFrame:
-    """One row: ``llr``, the array of log p(c | two before) under rejected minus under accepted URLs."""
+def held_out(host: Column) -> Column:
+    """Whether examples of this host calibrate, instead of being counted."""
+    return F.conv(F.substring(F.md5(host.cast("binary")), 1, 8), 16, 10).cast("bigint") % HELD_OUT == 0
+
+
+def model(urls: DataFrame, grams: str, rejected: str) -> DataFrame | None:
+    """One row: ``llr``, the array of log p(c | two before) under rejected minus under accepted URLs. None if either has none."""
     n, both = len(ALPHABET), ("n0", "n1")
     counts = urls.select(F.explode(grams).alias("g"), F.col(rejected).cast("long").alias("r")).groupBy("g")
     counts = cut(counts.agg(F.sum(1 - F.col("r")).cast("double").alias("n0"), F.sum("r").cast("double").alias("n1")))  # at most n**3 rows, as all below
@@ -79,11 +81,13 @@ def model(urls: DataFrame, grams: str, rejected: str) -> DataFrame:
     after_ab = abc.groupBy("ab").agg(*[f(k).alias(k + name) for k in both for f, name in ((F.sum, "_ab"), (kinds, "_tab"))])
     after_b = bc.groupBy("b").agg(*[f(f"{k}_bc").alias(k + name) for k in both for f, name in ((F.sum, "_b"), (kinds, "_tb"))])
     only_c = bc.groupBy("c").agg(*[F.sum(f"{k}_bc").alias(f"{k}_c") for k in both])
+    totals = counts.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in both]).first()
+    if not (totals["n0"] and totals["n1"]):
+        return None
     grid = urls.sparkSession.range(n**3).select(F.col("id").cast("int").alias("g"), (F.col("id") % n).alias("c"), (F.floor(F.col("id") / n) % n).alias("b"), F.floor(F.col("id") / n).alias("ab"))
     for part, by in ((counts, ["g"]), (bc, ["b", "c"]), (after_ab, ["ab"]), (after_b, ["b"]), (only_c, ["c"])):
         grid = grid.join(F.broadcast(part), by, "left")
     grid = grid.fillna(0.0)
-    totals = counts.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in both]).first()
     p = {}
     for k in both:
         p1 = (F.col(f"{k}_c") + 1.0) / (totals[k] + float(n))
@@ -94,33 +98,36 @@ def model(urls: DataFrame, grams: str, rejected: str) -> DataFrame:
 
 
 def filter_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rejected_words: Sequence[str] = REJECTED_HOST_WORDS,
-    url_col: str = "url", false_rejects: float = FALSE_REJECTS,
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", false_rejects: float = FALSE_REJECTS,
+    rejected: Column | None = None,
 ) -> DataFrame:
     """All columns of ``pages`` and host, path, rule, score, verdict (allow or block).
 
-    The rejected examples are the URLs with one of ``rejected_words`` as a whole word of the host; the
-    others are the accepted ones. The threshold is the (1 - false_rejects) quantile of the accepted
-    examples' scores, and 0 at least; a URL above it that no rule fits is blocked.
+    ``rejected`` is true for rejected examples, false for accepted ones and null for all other rows; without
+    it the rules decide. The threshold is the (1 - false_rejects) quantile of the scores of the accepted
+    examples held out, and 0 at least; a URL above it that no rule fits is blocked.
     """
     n = fresh(pages, "grams", "bad", "llr")
     host, path, rest = split_url(F.col(url_col).cast("string"))
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
-    words = F.array(*[F.lit(w) for w in rejected_words]).cast("array<string>")
     kept = [F.col(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
-
-    def examples(rows: DataFrame) -> DataFrame:
-        return rows.select(host.alias("host"), rest.alias("rest")).select(_grams(F.col("rest")).alias("grams"), F.arrays_overlap(F.split("host", "[.\\-]"), words).alias("bad"))
-
-    urls = pages.select(url_col)
-    weights = cut(model(examples(urls), "grams", "bad")).scalar()
+    labelled = pages.select(host.alias("host"), path.alias("path"), rest.alias("rest"), *([] if rejected is None else [rejected.alias("bad")]))
+    if rejected is None:
+        labelled = labelled.withColumn("bad", ruled == "block")
+    labelled = labelled.where("bad IS NOT NULL AND rest <> ''").select(_grams(F.col("rest")).alias("grams"), "bad", held_out(F.col("host")).alias("out"))
+    made = model(labelled.where("NOT out"), "grams", "bad")
+    if made is None:
+        out = pages.select(*kept, host.alias("host"), path.alias("path"))
+        out = out.withColumns({"rule": rule, "score": F.lit(0.0)})
+        return out.select(*[c for c in out.columns], F.coalesce(ruled, F.lit("allow")).alias("verdict"))
+    weights = cut(made).scalar()
 
     def mean(grams: Column, llr: Column) -> Column:
         total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.element_at(llr, g + 1))
         return F.when(F.size(grams) > 0, F.round(total / F.size(grams), 6)).otherwise(0.0)
 
     # a subquery can't stand inside a higher-order function: it is a column of the projection below
-    scored = examples(urls).where(~F.col("bad") & (F.size("grams") > 0)).select("grams", weights.alias("llr"))
+    scored = labelled.where("out AND NOT bad").select("grams", weights.alias("llr"))
     scored = scored.select(mean(F.col("grams"), F.col("llr")).alias("score"))
     # three digits bound what the percentile has to hold: a score is a mean of logarithms within +-20
     scored = scored.select(F.round("score", 3).alias("score")).groupBy("score").count()
@@ -137,14 +144,17 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-_WORDS = ", ".join(f"'{w}'" for w in REJECTED_HOST_WORDS)
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 
 def _smoothed(k: str) -> str:
-    p1 = f"(c.{k} + 1.0) / (n.{k} + {len(ALPHABET)}.0)"
-    p2 = f"CASE WHEN b.{k} > 0 THEN (bc.{k} + b.t{k} * {p1}) / (b.{k} + b.t{k}) ELSE {p1} END"
-    return f"CASE WHEN ab.{k} > 0 THEN (g.{k} + ab.t{k} * ({p2})) / (ab.{k} + ab.t{k}) ELSE {p2} END"
+    count = lambda part, name=k: f"coalesce({part}.{name}, 0.0)"
+    p1 = f"({count('c')} + 1.0) / (n.{k} + {len(ALPHABET)}.0)"
+    p2 = f"CASE WHEN {count('b')} > 0 THEN ({count('bc')} + {count('b', 't' + k)} * {p1}) / ({count('b')} + {count('b', 't' + k)}) ELSE {p1} END"
+    return f"CASE WHEN {count('ab')} > 0 THEN (g.{k} + {count('ab', 't' + k)} * ({p2})) / ({count('ab')} + {count('ab', 't' + k)}) ELSE {p2} END"
+
+
+_LLR = f"ln({_smoothed('n1')}) - ln({_smoothed('n0')})"
 
 
 # DuckDB: the same models from the grams as strings.
@@ -152,21 +162,25 @@ OP10_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS k FROM u),
-s AS (SELECT k, '^^' || regexp_replace(regexp_replace(lower(rest), '[0-9]', '0', 'g'), '[^a-z0/.\-_?=&%:]', '~', 'g') AS s,
-  list_has_any(string_split_regex(host, '[.\-]'), [{_WORDS}]) AS bad FROM h WHERE rest <> ''),
-x AS (SELECT k, bad, substr(s, i, 3) AS g FROM (SELECT k, bad, s, unnest(range(1, length(s) - 1)) AS i FROM s) y),
-g AS (SELECT g, CAST(count(*) FILTER (NOT bad) AS DOUBLE) AS n0, CAST(count(*) FILTER (bad) AS DOUBLE) AS n1 FROM x GROUP BY g),
+r AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h, (VALUES {_RULES}) rules(v, rh, rp)
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k),
+s AS (SELECT h.k, '^^' || regexp_replace(regexp_replace(lower(rest), '[0-9]', '0', 'g'), '[^a-z0/.\-_?=&%:]', '~', 'g') AS s,
+  r.v = 'block' AS bad, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % {HELD_OUT} = 0 AS held FROM h LEFT JOIN r ON r.k = h.k WHERE rest <> ''),
+x AS (SELECT k, bad, held, substr(s, i, 3) AS g FROM (SELECT k, bad, held, s, unnest(range(1, length(s) - 1)) AS i FROM s) y),
+g AS (SELECT g, CAST(count(*) FILTER (NOT bad) AS DOUBLE) AS n0, CAST(count(*) FILTER (bad) AS DOUBLE) AS n1 FROM x WHERE bad IS NOT NULL AND NOT held GROUP BY g),
 bc AS (SELECT substr(g, 2) AS g, sum(n0) AS n0, sum(n1) AS n1 FROM g GROUP BY 1),
 ab AS (SELECT substr(g, 1, 2) AS g, sum(n0) AS n0, sum(n1) AS n1, count(*) FILTER (n0 > 0) AS tn0, count(*) FILTER (n1 > 0) AS tn1 FROM g GROUP BY 1),
 b AS (SELECT substr(g, 1, 1) AS g, sum(n0) AS n0, sum(n1) AS n1, count(*) FILTER (n0 > 0) AS tn0, count(*) FILTER (n1 > 0) AS tn1 FROM bc GROUP BY 1),
 c AS (SELECT substr(g, 2) AS g, sum(n0) AS n0, sum(n1) AS n1 FROM bc GROUP BY 1),
-n AS (SELECT sum(n0) AS n0, sum(n1) AS n1 FROM g),
-llr AS (SELECT g.g, ln({_smoothed("n1")}) - ln({_smoothed("n0")}) AS llr FROM g JOIN bc ON bc.g = substr(g.g, 2) JOIN ab ON ab.g = substr(g.g, 1, 2)
-  JOIN b ON b.g = substr(g.g, 2, 1) JOIN c ON c.g = substr(g.g, 3), n),
-score AS (SELECT k, any_value(bad) AS bad, round(avg(llr), 6) AS score FROM x JOIN llr ON llr.g = x.g GROUP BY k),
-t AS (SELECT greatest(coalesce(quantile_cont(round(score, 3), {1 - FALSE_REJECTS}) FILTER (NOT bad), 0.0), 0.0) AS t FROM score),
-r AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h, (VALUES {_RULES}) rules(v, rh, rp)
-  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k)
-SELECT page_id, host, path, rule, coalesce(r.v, CASE WHEN score.score > t.t THEN 'block' ELSE 'allow' END) AS verdict, coalesce(score.score, 0.0) AS score
-FROM h LEFT JOIN score ON score.k = h.k LEFT JOIN r ON r.k = h.k, t
+n AS (SELECT coalesce(sum(n0), 0) AS n0, coalesce(sum(n1), 0) AS n1 FROM g),
+every AS (SELECT DISTINCT g FROM x),
+z AS (SELECT every.g, coalesce(g.n0, 0.0) AS n0, coalesce(g.n1, 0.0) AS n1 FROM every LEFT JOIN g ON g.g = every.g),
+llr AS (SELECT g.g, {_LLR} AS llr
+  FROM z g LEFT JOIN bc ON bc.g = substr(g.g, 2) LEFT JOIN ab ON ab.g = substr(g.g, 1, 2)
+  LEFT JOIN b ON b.g = substr(g.g, 2, 1) LEFT JOIN c ON c.g = substr(g.g, 3), n),
+score AS (SELECT k, any_value(bad) AS bad, any_value(held) AS held, round(avg(llr), 6) AS score FROM x JOIN llr ON llr.g = x.g GROUP BY k),
+t AS (SELECT greatest(coalesce(quantile_cont(round(score, 3), {1 - FALSE_REJECTS}) FILTER (held AND NOT bad), 0.0), 0.0) AS t FROM score)
+SELECT page_id, host, path, rule, coalesce(r.v, CASE WHEN n.n0 > 0 AND n.n1 > 0 AND score.score > t.t THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN n.n0 > 0 AND n.n1 > 0 THEN coalesce(score.score, 0.0) ELSE 0.0 END AS score
+FROM h LEFT JOIN score ON score.k = h.k LEFT JOIN r ON r.k = h.k, t, n
 """

@@ -37,31 +37,48 @@ def test_odd_urls_and_clashing_columns(spark):
     assert filter_urls(pages.limit(0)).isEmpty()
 
 
-def test_the_ratio_finds_hosts_like_the_rejected(spark):
-    good = [f"http://{w}.example.info/en/{i}" for i in range(250) for w in ("meadow", "river", "granite", "harbour")]
-    bad = [f"http://cheap-pills.example.info/en/{i}" for i in range(20)]
+def test_the_ratio_finds_urls_like_the_rejected(spark):
+    good = [f"http://{w}{i % 7}.example.info/en/{i}" for i in range(250) for w in ("meadow", "river", "granite", "harbour")]
+    bad = [f"http://cheap-pills{i}.example.info/en/{i}" for i in range(40)]
     new = ["http://cheeap-piills.example.info/en/1", "http://cheap-pillz.example.info/en/2", "http://graniteriver.example.info/en/3"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad + new)], "page_id long, url string")
-    verdict = {r.url: r.verdict for r in filter_urls(pages, rules=()).collect()}
-    assert all(verdict[u] == "block" for u in bad) and all(verdict[u] == "allow" for u in good)
+    known = F.when(F.col("page_id") < len(good + bad), F.col("page_id") >= len(good))
+    verdict = {r.url: r.verdict for r in filter_urls(pages, rules=(), rejected=known).collect()}
+    assert all(verdict[u] == "block" for u in bad) and sum(verdict[u] == "allow" for u in good) >= 0.95 * len(good)
     assert [verdict[u] for u in new] == ["block", "block", "allow"]
 
 
+def test_the_model_decides_where_no_rule_fits(spark):
+    """Rules block one host's pages and allow another's; elsewhere verdicts follow the likeness to either, and without examples all is allowed."""
+    rules = (("block", "blocked.info", "/casino-bonus/"), ("allow", "allowed.info", "/gardens/"))
+    urls = [f"http://a{i}.blocked.info/casino-bonus/{i}" for i in range(60)] + [f"http://b{i}.allowed.info/gardens/{i}" for i in range(60)]
+    new = [f"http://x.other.info/casino-bonus/{i}" for i in range(5)] + [f"http://x.other.info/gardens/{i}" for i in range(5)]
+    pages = spark.createDataFrame([(u,) for u in urls + new], "url string")
+    verdict = {r.url: r.verdict for r in filter_urls(pages, rules).collect()}
+    assert [verdict[u] for u in new] == ["block"] * 5 + ["allow"] * 5
+    for emptied in (F.lit(None).cast("boolean"), F.lit(True), F.lit(False)):
+        verdict = {r.url: (r.verdict, r.score) for r in filter_urls(pages, rules, rejected=emptied).collect()}
+        assert {verdict[u] for u in new} == {("allow", 0.0)} and verdict[urls[0]] == ("block", 0.0)
+
+
 def test_model_against_brute_force(spark):
     """The score of a URL from counts made in Python."""
+    import hashlib
     import math
     from collections import Counter
 
-    from graphloom.llm.urls import ALPHABET, REJECTED_HOST_WORDS
+    from graphloom.llm.urls import ALPHABET, HELD_OUT
 
-    urls = ["http://casino.a.com/x1", "http://b.com/yy", "http://c.com/y-z", "http://win.b.com/q"]
-    got = {r.url: r.score for r in filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules=()).collect()}
+    urls = [f"http://{a}{i}.com/x1?{i}" for i in range(6) for a in ("casino-", "b", "c.d", "win.")]
+    pages = spark.createDataFrame([(u, u.startswith(("http://casino", "http://win"))) for u in urls], "url string, bad boolean")
+    got = {r.url: r.score for r in filter_urls(pages, rules=(), rejected=F.col("bad")).collect()}
     n, tri = len(ALPHABET), {True: Counter(), False: Counter()}
     grams = {}
     for u in urls:
         s = "^^" + re.sub("[0-9]", "0", u.split("://")[1])
         grams[u] = [s[i : i + 3] for i in range(len(s) - 2)]
-        tri[bool(set(re.split(r"[.\-]", _split(u)[0])) & set(REJECTED_HOST_WORDS))].update(grams[u])
+        if int(hashlib.md5(_split(u)[0].encode()).hexdigest()[:8], 16) % HELD_OUT:
+            tri[u.startswith(("http://casino", "http://win"))].update(grams[u])
 
     def p(c, g):
         count = lambda f: sum(v for k, v in c.items() if f(k))
