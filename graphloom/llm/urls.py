@@ -1,9 +1,10 @@
 """Operator 10: URL filter by rules and, where no rule fits, a character language-model ratio.
 
 Two interpolated character Markov models (contexts of 0, 1 and 2 characters, Witten-Bell smoothing)
-are counted over accepted and over rejected URLs: those that the rules allow and block, or any examples
+are counted over rejected and over accepted URLs: those that a rule blocks and all others, or any examples
 given. A URL is scored by its length-normalised log-likelihood difference. A quarter of the examples' hosts
-is not counted; the accepted ones among them calibrate the threshold.
+is not counted; the accepted ones among them that no rule fits calibrate the threshold, so that of the
+URLs the rules say nothing on few are blocked, the likest to blocked ones.
 
 DataFrame functions only. The alphabet has 38 characters, so a model has 38**3 = 54,872 numbers
 however large the input: that bound is why it may be handed to the scan as one array.
@@ -11,7 +12,7 @@ however large the input: that bound is why it may be handed to the scan as one a
 Defined cases: a null URL or one without ``://`` has empty host and path, score 0 and verdict
 allow; all other characters fall on one letter of the alphabet, so any text can be scored; repeated
 rows get equal verdicts; without an accepted or without a rejected example (or with an empty table) the
-score is 0 and all is allowed that no rule blocks; without an accepted example among those held out the
+score is 0 and all is allowed that no rule blocks; without such an example among those held out the
 threshold is 0; extra columns pass through, but those named like an added one are replaced.
 """
 
@@ -34,8 +35,8 @@ RULES = (
 )
 #: "^" pads the start, "0" stands for every digit and "~" for every character that isn't listed.
 ALPHABET = "^abcdefghijklmnopqrstuvwxyz0/.-_?=&%:~"
-#: Share of the accepted examples held out that the method may reject, and one in how many hosts is held out.
-FALSE_REJECTS, HELD_OUT = 0.05, 4
+#: Share of the accepted examples held out, those that no rule fits, that the method may reject, and one in how many hosts is held out.
+FALSE_REJECTS, HELD_OUT = 0.02, 4
 
 
 def split_url(url: Column) -> tuple[Column, Column, Column]:
@@ -104,8 +105,8 @@ def filter_urls(
     """All columns of ``pages`` and host, path, rule, score, verdict (allow or block).
 
     ``rejected`` is true for rejected examples, false for accepted ones and null for all other rows; without
-    it the rules decide. The threshold is the (1 - false_rejects) quantile of the scores of the accepted
-    examples held out, and 0 at least; a URL above it that no rule fits is blocked.
+    it the URLs that a rule blocks are rejected and all others accepted. The threshold is the (1 - false_rejects) quantile of the scores of the accepted
+    examples held out that no rule fits, and 0 at least; a URL above it that no rule fits is blocked.
     """
     n = fresh(pages, "grams", "bad", "llr")
     host, path, rest = split_url(F.col(url_col).cast("string"))
@@ -113,8 +114,9 @@ def filter_urls(
     kept = [F.col(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
     labelled = pages.select(host.alias("host"), path.alias("path"), rest.alias("rest"), *([] if rejected is None else [rejected.alias("bad")]))
     if rejected is None:
-        labelled = labelled.withColumn("bad", ruled == "block")
-    labelled = labelled.where("bad IS NOT NULL AND rest <> ''").select(_grams(F.col("rest")).alias("grams"), "bad", held_out(F.col("host")).alias("out"))
+        labelled = labelled.withColumn("bad", F.coalesce(ruled == "block", F.lit(False)))
+    labelled = labelled.where("bad IS NOT NULL AND rest <> ''")
+    labelled = labelled.select(_grams(F.col("rest")).alias("grams"), "bad", held_out(F.col("host")).alias("out"), ruled.isNull().alias("unruled"))
     made = model(labelled.where("NOT out"), "grams", "bad")
     if made is None:
         out = pages.select(*kept, host.alias("host"), path.alias("path"))
@@ -127,7 +129,7 @@ def filter_urls(
         return F.when(F.size(grams) > 0, F.round(total / F.size(grams), 6)).otherwise(0.0)
 
     # a subquery can't stand inside a higher-order function: it is a column of the projection below
-    scored = labelled.where("out AND NOT bad").select("grams", weights.alias("llr"))
+    scored = labelled.where("out AND unruled AND NOT bad").select("grams", weights.alias("llr"))
     scored = scored.select(mean(F.col("grams"), F.col("llr")).alias("score"))
     # three digits bound what the percentile has to hold: a score is a mean of logarithms within +-20
     scored = scored.select(F.round("score", 3).alias("score")).groupBy("score").count()
@@ -165,8 +167,8 @@ h AS (SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'AB
 r AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h, (VALUES {_RULES}) rules(v, rh, rp)
   WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k),
 s AS (SELECT h.k, '^^' || regexp_replace(regexp_replace(lower(rest), '[0-9]', '0', 'g'), '[^a-z0/.\-_?=&%:]', '~', 'g') AS s,
-  r.v = 'block' AS bad, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % {HELD_OUT} = 0 AS held FROM h LEFT JOIN r ON r.k = h.k WHERE rest <> ''),
-x AS (SELECT k, bad, held, substr(s, i, 3) AS g FROM (SELECT k, bad, held, s, unnest(range(1, length(s) - 1)) AS i FROM s) y),
+  coalesce(r.v = 'block', false) AS bad, r.v IS NULL AS unruled, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % {HELD_OUT} = 0 AS held FROM h LEFT JOIN r ON r.k = h.k WHERE rest <> ''),
+x AS (SELECT k, bad, held, unruled, substr(s, i, 3) AS g FROM (SELECT k, bad, held, unruled, s, unnest(range(1, length(s) - 1)) AS i FROM s) y),
 g AS (SELECT g, CAST(count(*) FILTER (NOT bad) AS DOUBLE) AS n0, CAST(count(*) FILTER (bad) AS DOUBLE) AS n1 FROM x WHERE bad IS NOT NULL AND NOT held GROUP BY g),
 bc AS (SELECT substr(g, 2) AS g, sum(n0) AS n0, sum(n1) AS n1 FROM g GROUP BY 1),
 ab AS (SELECT substr(g, 1, 2) AS g, sum(n0) AS n0, sum(n1) AS n1, count(*) FILTER (n0 > 0) AS tn0, count(*) FILTER (n1 > 0) AS tn1 FROM g GROUP BY 1),
@@ -178,8 +180,8 @@ z AS (SELECT every.g, coalesce(g.n0, 0.0) AS n0, coalesce(g.n1, 0.0) AS n1 FROM
 llr AS (SELECT g.g, {_LLR} AS llr
   FROM z g LEFT JOIN bc ON bc.g = substr(g.g, 2) LEFT JOIN ab ON ab.g = substr(g.g, 1, 2)
   LEFT JOIN b ON b.g = substr(g.g, 2, 1) LEFT JOIN c ON c.g = substr(g.g, 3), n),
-score AS (SELECT k, any_value(bad) AS bad, any_value(held) AS held, round(avg(llr), 6) AS score FROM x JOIN llr ON llr.g = x.g GROUP BY k),
-t AS (SELECT greatest(coalesce(quantile_cont(round(score, 3), {1 - FALSE_REJECTS}) FILTER (held AND NOT bad), 0.0), 0.0) AS t FROM score)
+score AS (SELECT k, any_value(bad) AS bad, any_value(held) AS held, any_value(unruled) AS unruled, round(avg(llr), 6) AS score FROM x JOIN llr ON llr.g = x.g GROUP BY k),
+t AS (SELECT greatest(coalesce(quantile_cont(round(score, 3), {1 - FALSE_REJECTS}) FILTER (held AND unruled AND NOT bad), 0.0), 0.0) AS t FROM score)
 SELECT page_id, host, path, rule, coalesce(r.v, CASE WHEN n.n0 > 0 AND n.n1 > 0 AND score.score > t.t THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN n.n0 > 0 AND n.n1 > 0 THEN coalesce(score.score, 0.0) ELSE 0.0 END AS score
 FROM h LEFT JOIN score ON score.k = h.k LEFT JOIN r ON r.k = h.k, t, n

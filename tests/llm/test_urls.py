@@ -44,15 +44,16 @@ def test_the_ratio_finds_urls_like_the_rejected(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad + new)], "page_id long, url string")
     known = F.when(F.col("page_id") < len(good + bad), F.col("page_id") >= len(good))
     verdict = {r.url: r.verdict for r in filter_urls(pages, rules=(), rejected=known).collect()}
-    assert all(verdict[u] == "block" for u in bad) and sum(verdict[u] == "allow" for u in good) >= 0.95 * len(good)
+    assert all(verdict[u] == "block" for u in bad) and sum(verdict[u] == "allow" for u in good) >= 0.96 * len(good)
     assert [verdict[u] for u in new] == ["block", "block", "allow"]
 
 
 def test_the_model_decides_where_no_rule_fits(spark):
-    """Rules block one host's pages and allow another's; elsewhere verdicts follow the likeness to either, and without examples all is allowed."""
+    """A rule blocks one host's pages; elsewhere verdicts follow the likeness to them, and without examples of both kinds all is allowed."""
     rules = (("block", "blocked.info", "/casino-bonus/"), ("allow", "allowed.info", "/gardens/"))
     urls = [f"http://a{i}.blocked.info/casino-bonus/{i}" for i in range(60)] + [f"http://b{i}.allowed.info/gardens/{i}" for i in range(60)]
-    new = [f"http://x.other.info/casino-bonus/{i}" for i in range(5)] + [f"http://x.other.info/gardens/{i}" for i in range(5)]
+    urls += [f"http://c{i}.third.info/gardens/{i}" for i in range(1500)]
+    new = [f"http://a{i}.blocked.net/casino-bonus/{i}" for i in range(5)] + [f"http://c{i}.third.net/gardens/{i}" for i in range(5)]
     pages = spark.createDataFrame([(u,) for u in urls + new], "url string")
     verdict = {r.url: r.verdict for r in filter_urls(pages, rules).collect()}
     assert [verdict[u] for u in new] == ["block"] * 5 + ["allow"] * 5
