@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,20 @@ def small(df: DataFrame, n: int, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if n <= most else df
 
 
+def one_thread() -> None:
+    """In a Python worker: matrix products on the task's own core; more threads than cores would wait for each other, busily."""
+    try:
+        with open("/proc/self/maps") as f:
+            libraries = set(re.findall(r"/\S*openblas\S*\.so\S*", f.read()))
+    except OSError:
+        return
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def fresh(df: DataFrame, *wanted: str) -> dict[str, str]:
     """Names for working columns that do not clash with those ``df`` has, whatever their case."""
     have = {c.lower() for c in df.columns}

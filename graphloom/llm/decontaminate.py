@@ -1,18 +1,18 @@
 """Operator 2: benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of 32 words. Passages of the corpus and of the benchmark, as TF-IDF
-vectors over hashed words, form a matrix A, whose right singular vectors are found by a distributed
-randomised SVD: every task adds up its share of A'(A Omega), and the driver decomposes the sum, of a
-fixed size. The benchmark's rows weigh as much as all the corpus's and are probed more often, so that
-its own directions are in the latent space beside the corpus's main ones. Every window of two passages is compared by cosine with every benchmark
+vectors over hashed words, form one matrix A, whose right singular vectors are found by a distributed
+randomised SVD: every task adds up its share of A'(A Omega), for one Omega of rank and oversampling
+columns, and the driver decomposes the sum, of a fixed size. The benchmark's rows weigh as much as all the
+corpus's, so that its own directions are in the latent space beside the corpus's main ones. Every window of two passages is compared by cosine with every benchmark
 item, and with every such window of an item that is longer; a hit on any makes the item a candidate. Candidates are checked by the longest common subsequence of words, of the whole item and of
 its answer (its last sentence), so edited and reordered-in-part copies are found too.
 
 Counts, SVD and search go over all texts, whole; the benchmark is read in passes of about
 ``ITEMS`` windows of items, the only thing whose size decides what is broadcast.
 
-Defined cases: null texts and texts without a letter match nothing, nor do such items; repeated items
-are items of their own; repeated documents are each found; rows of ``find`` are one for each document
+Defined cases: null texts and texts without a letter (a character of category L) match nothing, nor do such
+items; equal rows of the benchmark are one item; repeated documents are each found; rows of ``find`` are one for each document
 row and item; extra columns are ignored by ``find`` and kept by ``decontaminate``; with an empty
 benchmark nothing is found; an empty table gives an empty result.
 """
@@ -28,18 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import one_thread, table
 from graphloom.llm.words import Hasher, batches, lettered, owners
 
 BUCKETS, PASSAGE = 1 << 13, 32
-#: Rank of the latent space; random probes of the benchmark's rows and, for the main directions, of the corpus's.
-RANK, ITEM_PROBES, CORPUS_PROBES = 208, 224, 48
+#: Rank of the latent space, and random probes.
+RANK, PROBES = 208, 224
+#: Passages multiplied at once, and buckets in one part of a sum of sketches.
+BLOCK, PART = 32, 64
 #: Least cosine with an item's window of two passages, and least share of the latent length of an item's window along it, of a
 #: candidate. With a shorter item it is less by the root of the item's share of a window: the window has other words beside it,
 #: and a large benchmark's latent space holds those as well.
 COSINE, COVERAGE = 0.5, 0.35
 #: Least share of the item's words in common order: with its answer, and if the answer is cut off.
 LCS, ANSWER, LCS_ALONE = 0.6, 0.5, 0.8
+#: Least number of an item's words in common order; all of an item with fewer.
+LEAST = 4
 #: Windows of benchmark items read in one pass; an item of up to two passages is one.
 ITEMS = 50_000
 
@@ -67,15 +71,25 @@ class Passages:
         return key // BUCKETS, key % BUCKETS, np.sqrt(times), np.flatnonzero(new)
 
 
-def gather(matrix: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """The n sums of value * matrix[at] by ``row``, which is sorted and has every number up to n; in small parts."""
+def dense_blocks(row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The sparse n x BUCKETS matrix in blocks of rows: (first row, the buckets that occur, the dense block over these)."""
+    ends, number = np.searchsorted(row, np.arange(0, n + BLOCK, BLOCK)), np.zeros(BUCKETS, np.int64)
+    for i in range(0, n, BLOCK):
+        part = slice(ends[i // BLOCK], ends[i // BLOCK + 1])
+        mark = np.zeros(BUCKETS, bool)
+        mark[at[part]] = True
+        some = np.flatnonzero(mark)
+        number[some] = np.arange(len(some))
+        dense = np.zeros((min(BLOCK, n - i), len(some)), np.float32)
+        dense[row[part] - i, number[at[part]]] = value[part]
+        yield i, some, dense
+
+
+def project(matrix: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The sparse n x BUCKETS matrix times ``matrix``."""
     out = np.empty((n, matrix.shape[1]), np.float32)
-    step = 128
-    ends = np.searchsorted(row, np.arange(0, n + step, step))
-    for i in range(0, n, step):
-        a, b = ends[i // step], ends[i // step + 1]
-        part = matrix[at[a:b]] * value[a:b, None]
-        out[i : i + step] = np.add.reduceat(part, np.searchsorted(row[a:b], np.arange(i, min(n, i + step))), axis=0)
+    for i, some, dense in dense_blocks(row, at, value, n):
+        out[i : i + BLOCK] = dense @ matrix[some]
     return out
 
 
@@ -99,11 +113,15 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def sketch(texts: DataFrame, idf: np.ndarray, probes: int, seed: int = 3) -> np.ndarray:
-    """A'(A Omega) over the passages of ``texts``, rows of A at length 1; Omega is drawn alike in every task."""
+def sketch(texts: DataFrame, idf: np.ndarray, probes: int = PROBES, seed: int = 3) -> np.ndarray:
+    """A'(A Omega) over the passages of ``texts``, rows of A at length 1; Omega is drawn alike in every task.
+
+    A task's share is cut into parts of PART buckets, which are dealt to the reducers and added up there as they stream by.
+    """
     held = texts.sparkSession.sparkContext.broadcast(idf)  # a number a bucket
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         passages, idf, omega = Passages(), held.value, _omega(probes, seed)
         total, any_row = np.zeros((BUCKETS, probes), np.float32), False
         for b in parts:
@@ -111,16 +129,23 @@ def sketch(texts: DataFrame, idf: np.ndarray, probes: int, seed: int = 3) -> np.
                 any_row |= len(word) > 0
                 _add(total, *passages.tf(word, owner, place), idf, omega)
         if any_row:
-            some = np.flatnonzero(total.any(1))
-            sums = pa.FixedSizeListArray.from_arrays(pa.array(total[some].reshape(-1)), probes).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(some), sums], names=["bucket", "y"])
+            some = [k for k in range(BUCKETS // PART) if total[k * PART : (k + 1) * PART].any()]
+            sums = [total[k * PART : (k + 1) * PART].tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums, pa.binary())], names=["part", "y"])
 
-    made = texts.mapInArrow(read, "bucket long, y array<float>")
-    sums = made.groupBy("bucket").agg(*[F.sum(F.col("y")[i]).alias(f"y{i}") for i in range(probes)])
-    sums = sums.select("bucket", F.array(*[f"y{i}" for i in range(probes)]).cast("array<float>").alias("y"))
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in parts:
+            for k, y in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums.setdefault(k, np.zeros(PART * probes))
+                sums[k] += np.frombuffer(y.as_buffer(), np.float32)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "y"])
+
+    shares = texts.mapInArrow(read, "part long, y binary")
     out = np.zeros((BUCKETS, probes), np.float64)
-    for r in sums.collect():  # BUCKETS rows of fixed width
-        out[r.bucket] = r.y
+    for r in shares.repartition("part").mapInArrow(add, "part long, y binary").collect():  # BUCKETS rows of fixed width in all
+        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.y, np.float64).reshape(PART, probes)
     return out
 
 
@@ -135,14 +160,8 @@ def _add(total: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray,
     value = (value * idf[at]).astype(np.float32)
     length = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, n))
     value = value / np.maximum(length, 1e-12)[row].astype(np.float32)
-    projected = gather(omega, row, at, value, n)
-    order = np.argsort(at, kind="stable")
-    buckets, start = np.unique(at[order], return_index=True)
-    ends = np.append(start, len(order))
-    for i in range(0, len(buckets), 512):  # in parts that fit the cache
-        a, b = ends[i], ends[min(i + 512, len(buckets))]
-        o = order[a:b]
-        total[buckets[i : i + 512]] += np.add.reduceat(projected[row[o]] * value[o, None], start[i : i + 512] - a, axis=0)
+    for _, some, dense in dense_blocks(row, at, value, n):
+        total[some] += dense.T @ (dense @ omega[some])
 
 
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -199,13 +218,13 @@ def build(texts: DataFrame, items: list[tuple[int, str]], df: np.ndarray, n: int
     if not kept:
         return None
     idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + np.float32(1e-3)
-    total = np.zeros((BUCKETS, ITEM_PROBES), np.float32)
-    omega, rows = _omega(ITEM_PROBES, seed + 1), 0
+    total = np.zeros((BUCKETS, corpus.shape[1]), np.float32)
+    omega, rows = _omega(corpus.shape[1], seed), 0
     for _, word, owner, place in passages.words([items[i][1] for i in kept]):
         got = passages.tf(word, owner, place)
         rows += len(got[3])
         _add(total, *got, idf, omega)
-    y = np.concatenate([corpus, total.astype(np.float64) * max(n, 1) / max(rows, 1)], axis=1)
+    y = corpus + total.astype(np.float64) * max(n, 1) / max(rows, 1)  # of one matrix: the corpus's rows and the weighted ones of the benchmark
     u, s, _ = np.linalg.svd(y, full_matrices=False)
     rank = min(RANK, int((s > 1e-9 * s[0]).sum()))
     space = (u[:, :rank] * idf[:, None]).astype(np.float32)
@@ -258,6 +277,22 @@ class Search:
         self.here[part] = False
         return shared >= LCS * self.size[items]
 
+    def compared(self, item: int, words: list[int]) -> tuple[float, float]:
+        """The share of the item that its longest common subsequence with ``words`` has, and of its answer.
+
+        An item shorter than a passage is sought in stretches of twice its length, so that its words don't match
+        by chance here and there, and at least LEAST of them must be in common.
+        """
+        masks, answer = self.masks(item)
+        size, answer_size, best = int(self.size[item]), len(self.index.answers[item]), (0.0, 0.0)
+        reach, step = (2 * size, max(1, size // 2)) if size < PASSAGE else (len(words), len(words) + 1)
+        for i in range(0, max(len(words) - size, 1), step):
+            part = words[i : i + reach]
+            common = lcs(masks, size, part)
+            if common >= min(LEAST, size) and common / size >= best[0]:
+                best = max(best, (common / size, lcs(answer, answer_size, part) / answer_size if answer_size else 1.0))
+        return best
+
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(text, number of the item, cosine, share of the item, share of its answer, first word), by text and item."""
         x = self.index
@@ -265,7 +300,7 @@ class Search:
             if not len(word):
                 continue
             row, at, value, start = self.passages.tf(word, owner, place)
-            z = gather(x.space, row, at, value.astype(np.float32), len(start))
+            z = project(x.space, row, at, value, len(start))
             own = owner[start]
             z[:-1][own[:-1] == own[1:]] += z[1:][own[:-1] == own[1:]]  # a window: a passage and the next of its text
             length = np.sqrt((z**2).sum(1)) + 1e-9
@@ -302,10 +337,7 @@ class Search:
                     part = around(w, group[-1][0], size)
                     if reach and not self._possible(known[part], np.array([item]))[0]:
                         continue
-                    masks, answer = self.masks(item)
-                    words, answer_size = word[part].tolist(), len(x.answers[item])
-                    share = lcs(masks, size, words) / size
-                    told = lcs(answer, answer_size, words) / answer_size if answer_size else 1.0
+                    share, told = self.compared(item, word[part].tolist())
                     if share >= LCS_ALONE or share >= LCS and told >= ANSWER:
                         best = max(best, *((share, c, told, -int(place[start[v]])) for v, c in group))
                 if best[0]:
@@ -315,7 +347,7 @@ class Search:
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Iterator[Index]:
     texts = docs.select(F.col(text_col).alias("text"))
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     n_words = F.size(F.split(F.lower("text"), r"[\x00-\x60\x7b-\x7f]+"))
     total = asked.agg(F.sum(F.greatest(F.lit(1), F.ceil(n_words / PASSAGE) - 1))).first()[0] or 0
     passes = -(-total // ITEMS)
@@ -323,7 +355,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> It
         return
     df, n = document_frequencies(texts)
     idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + np.float32(1e-3)
-    corpus = sketch(texts, idf, CORPUS_PROBES)
+    corpus = sketch(texts, idf)
     for p in range(passes):
         items = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()  # about ITEMS windows
         index = build(texts, sorted((r.item_id if r.item_id is not None else -1, r.text) for r in items), df, n, corpus)
@@ -341,6 +373,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         held = docs.sparkSession.sparkContext.broadcast(index.parts())
 
         def read(parts: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            one_thread()
             search = Search(Index(*held.value))
             for b in parts:
                 got = list(search(b.column(1).to_pylist()))
@@ -363,6 +396,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         held = docs.sparkSession.sparkContext.broadcast(index.parts())
 
         def read(parts: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            one_thread()
             search = Search(Index(*held.value))
             for b in parts:
                 clean = np.ones(b.num_rows, bool)
