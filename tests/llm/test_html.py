@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from graphloom.llm import html as operator
 from graphloom.llm.html import extract_main_text, main_text, op6_tag_path_ratio
 
 
@@ -105,6 +106,42 @@ def test_unequal_containers(page):
     assert "Home" not in main_text(page.replace("<body>", f"<body>{menu}"))
 
 
+#: Nothing in these pages is marked: only length, links and punctuation of the paths tell menus, adverts and footers from the text.
+UNMARKED = [
+    "<body><div><a href=a>Home</a> <a href=b>News</a></div><div>{}</div><div>Buy now</div><div>Example Inc, all rights reserved.</div></body>",
+    "<body><article><div><a href=a>Home</a> <a href=b>News</a></div>{}<div>Buy now</div></article></body>",
+    "<body><div id=w><div>Home News</div>{}<div>Buy now</div></div></body>",
+    "<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><table><tr><td>Top</td><td>{}</td><td><a href=x>More, of this</a></td></tr></table><div>Terms</div></body>",
+    "<body><div>Site name</div><main>{}</main><div>Write to us, soon.</div></body>",
+    "<body><p>Welcome</p><div class=story>{}</div><p>Imprint</p></body>",
+]
+
+
+@pytest.mark.parametrize("page", UNMARKED)
+def test_unmarked_boilerplate(page):
+    text = f"<h1>A headline</h1><p>{LONG}</p><p>{SHORT}</p><ul><li>Item one, yes.<li>Item two, no.</ul><p>{LONG}</p>"
+    assert main_text(page.format(text)) == "\n".join(["A headline", LONG.strip(), SHORT.strip(), "Item one, yes.", "Item two, no.", LONG.strip()])
+
+
+def test_without_the_ratio_it_stays(monkeypatch):
+    """With one ratio for all paths the same pages keep what is no part of the text: it is the ratio that tells."""
+    monkeypatch.setattr(operator, "ratios", lambda page, found: {path: 1.0 for _, path, _, _ in found})
+    text = f"<p>{LONG}</p><p>{SHORT}</p>"
+    kept = [main_text(p.format(text)) != f"{LONG.strip()}\n{SHORT.strip()}" for p in UNMARKED]
+    assert sum(kept) >= 5
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "post social-policy", "layout-with-nav", "notice-of-meeting", "related", "sidebar"])
+def test_a_wrapper_of_all_text_stays(name):
+    for tag in ("div", "section", "form", "aside"):
+        assert main_text(f"<body><{tag} class='{name}'><p>{LONG}</p><p>{SHORT}</p></{tag}></body>") == f"{LONG.strip()}\n{SHORT.strip()}"
+
+
+def test_a_page_without_text_beside_an_advert():
+    assert main_text("<body><div class=ad>Buy this, now.</div><article><p></p></article></body>") == ""
+    assert main_text("<body><nav><a>Home</a></nav><div class=ad>Buy this, now; it is good.</div><article><h1>One</h1><p>Word.</p></article><footer>Our, long, footer.</footer></body>") == "One\nWord."
+
+
 def test_long_and_deep_pages_end():
     many = "".join(f"<p>Paragraph {i}, with some words.</p>" for i in range(20_000))
     assert main_text(f"<article>{many}</article>").count("\n") == 19_999
