@@ -6,41 +6,48 @@ the learning sample give its Nyström approximation, on which one-versus-rest ke
 solved. For scoring, landmarks, Nyström map and regression weights are multiplied once into a matrix
 (n-gram bucket x language), by which a batch of presence vectors is multiplied.
 
-The fit uses a bounded sample: at most ``per_lang`` rows of each language, those of smallest id
-hash among the rows that may be learned from. Prediction reads the whole text and nothing else.
+The fit uses a bounded sample: at most ``per_lang`` distinct rows (id and text) with a letter of each language, those
+of smallest hash among the rows that may be learned from. Prediction reads the whole text and nothing else.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; with nothing to learn
+Defined cases: a null text or one without a letter (a character of Unicode's category L) is ``und`` with score 0; with nothing to learn
 from every row is; equal texts get equal results; a text shorter than two letters is padded by the
 blanks around it; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
+from graphloom.llm.textfeat import bounded_sample
+from graphloom.llm.words import letters
 
 BITS = 17
 PER_LANG, LANDMARKS, RIDGE = 300, 64, 1e-3
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 class Grams:
     """Sorted buckets of the n-grams that a text has; keeps its scratch space."""
 
     def __init__(self) -> None:
-        self.mark = np.zeros(1 << BITS, bool)
-
-    def __call__(self, text: str) -> np.ndarray:
-        c = np.frombuffer(f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        h = c
+        self.mark, self.letters = np.zeros(1 << BITS, bool), letters()
+
+    def __call__(self, text: str) -> np.ndarray | None:
+        """None for a text without a letter."""
+        c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.letters[c]
+        if not (kind == 2).any():
+            return None
+        # letters and their marks, with one blank for all between them and at the ends
+        inside = kind > 0
+        kept = inside.copy()
+        kept[1:] |= inside[:-1]
+        h = c = np.concatenate([[32], np.where(inside, c, 32)[kept], [32] * int(inside[-1])]).astype(np.uint64)
         for n in (2, 3, 4):
             h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :]
             if not len(h):
@@ -51,10 +58,6 @@ class Grams:
         return found
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and _NOT_LETTERS.fullmatch(text) is None
-
-
 def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
     """The languages and the matrix (bucket x language) that maps presence / sqrt(size) to ridge scores."""
     names = sorted(set(langs))
@@ -80,30 +83,19 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     return names, (marks.T @ (root @ beta).astype(np.float32)).astype(np.float32)
 
 
-def learning_sample(docs: DataFrame, lang_col: str, id_col: str, per_lang: int) -> DataFrame:
-    """lang, text: at most ``per_lang`` rows of each language, by smallest hash of id and text."""
-    counts = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}  # a row a language
-    if not counts:
-        return docs.select(F.col(lang_col).alias("lang"), "text").limit(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * per_lang / n + 60 / n))]), F.col(lang_col))
-    h = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 30))
-    some = docs.where(h < share * (1 << 30)).select(F.col(lang_col).alias("lang"), "text", h.alias("h"), F.xxhash64("text").alias("t"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))
-    return some.withColumn("n", first).where(F.col("n") <= per_lang).select("lang", "text", "h", "t")
-
-
-def learn(docs: DataFrame, may_learn, lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray] | None:
-    sample = learning_sample(docs.where(may_learn & F.col(lang_col).isNotNull() & F.col("text").isNotNull()), lang_col, id_col, per_lang)
+def learn(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray] | None:
+    rows = docs.where(may_learn & F.col("text").rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), "text")
+    sample, _ = bounded_sample(rows, "lang", ["id", "text"], per_lang)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for b in batches:
-            sets = [grams(x).tobytes() if has_letter(x := t.as_py()) else None for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), b.column(2), b.column(3)], names=["lang", "grams", "h", "t"])
+            sets = [found.tobytes() if (found := grams(t.as_py())) is not None else None for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), b.column(2)], names=["lang", "grams", "h"])
 
-    rows = sample.mapInArrow(read, "lang string, grams binary, h long, t long").where("grams IS NOT NULL").collect()  # at most per_lang a language
-    rows.sort(key=lambda r: (r.lang, r.h, r.t))
-    return fit([np.frombuffer(r.grams, np.int32) for r in rows], [r.lang for r in rows]) if rows else None
+    got = sample.select("lang", "text", "sample_hash").mapInArrow(read, "lang string, grams binary, h long").where("grams IS NOT NULL").collect()  # at most per_lang a language
+    got.sort(key=lambda r: (r.lang, r.h))
+    return fit([np.frombuffer(r.grams, np.int32) for r in got], [r.lang for r in got]) if got else None
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_col: str = "text") -> DataFrame:
@@ -130,8 +122,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_co
                     score[rows] = np.clip((f[np.arange(len(rows)), best] + 1) / 2, 0, 1)
 
                 for i, t in enumerate(b.column(len(kept))):
-                    if has_letter(x := t.as_py()):
-                        sets.append(grams(x))
+                    found = grams(t.as_py() or "")
+                    if found is not None:
+                        sets.append(found)
                         rows.append(i)
                         size += len(sets[-1])
                         if size > 500_000:

@@ -7,8 +7,9 @@ in which the step 1 is safe and, where no bound is met, exact. A rate depends on
 list of the steps' directions only, so nothing but one vector a step passes the driver. A document
 is emitted floor(r) times, and once more if its hash falls below the rest.
 
-The classifier is fitted on at most ``PER_DOMAIN`` labelled rows of each domain; totals, Gram matrix and
-rates are over all rows.
+The classifier is fitted on at most ``PER_DOMAIN`` distinct labelled rows (id and text) of each domain; totals,
+Gram matrix and rates are over all rows. ``Rates.gap`` says how far the totals stay from the targets, and a
+warning is given where they are not met.
 
 Defined cases: a null or empty text has 0 tokens, the uniform posterior and no say in the totals; its rate
 follows from its posterior all the same. Without labels there is one domain, ``all``. Domains without
@@ -18,6 +19,7 @@ Equal rows get equal rates; extra columns pass through; an empty table gives an
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -79,10 +81,10 @@ def fit(labels: list[str], at: list[np.ndarray], value: list[np.ndarray], ridge:
 
 
 def learn(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> Posterior:
-    rows = labelled.where(F.length(F.trim(text_col)) > 0).select(id_col, text_col, F.col(label_col).cast("string").alias("domain"))
-    sample, counts = bounded_sample(rows, "domain", id_col, per_domain)
+    rows = labelled.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("domain"))
+    sample, counts = bounded_sample(rows, "domain", ["id", "text"], per_domain)
     if counts:
-        labels, at, value = collect_features(sample, "domain", text_col)
+        labels, at, value = collect_features(sample, "domain", "text")
         if labels:
             return fit(labels, at, value)
     return Posterior(["all"], np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
@@ -115,6 +117,11 @@ class Rates:
     totals: list[float] = field(default_factory=list)
     targets: list[float] = field(default_factory=list)
 
+    @property
+    def gap(self) -> float:
+        """How far the totals are from the targets, as a share of these: 0 if all are met."""
+        return sum(abs(a - b) for a, b in zip(self.totals, self.targets, strict=True)) / max(sum(self.targets), 1e-300)
+
     def column(self, posterior: Column, n: int) -> Column:
         if not self.steps:
             return F.lit(float(max(self.start, self.floor)))
@@ -159,6 +166,8 @@ def fit_rates(rows: DataFrame, tokens: str, posterior: str, weights: list[float]
         rates.steps.append([float(g) for g in np.linalg.pinv(use, rcond=1e-10) @ (now - goal)])
         now, free = measure(rates.column(post, n))
         rates.totals = [float(x) for x in now]
+    if rates.steps and rates.gap > close:
+        warnings.warn(f"the expected tokens are off the targets by {rates.gap:.4f} of them", stacklevel=2)
     return rates
 
 
@@ -171,15 +180,20 @@ def copies(rate: Column, *key: Column | str) -> Column:
 def fit_mix(docs: DataFrame, model: Posterior, targets: Mapping[str, float], text_col: str = "text", keep_all: bool = False) -> tuple[DataFrame, Rates]:
     """tokens, posterior and the other columns of ``docs`` but the text, written once; and the rates."""
     rows = cut(with_posteriors(docs, model, text_col, "tokens", "posterior").drop(text_col))
-    return rows, fit_rates(rows, "tokens", "posterior", [max(0.0, targets.get(d, 0.0)) for d in model.domains], keep_all)
+    return rows, fit_rates(rows, "tokens", "posterior", _weights(model, targets), keep_all)
+
+
+def _weights(model: Posterior, targets: Mapping[str, float]) -> list[float]:
+    return [max(0.0, targets.get(d, 0.0)) for d in model.domains]
 
 
 def mix(docs: DataFrame, targets: Mapping[str, float], label_col: str, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = True) -> DataFrame:
     """``docs``, each row as often as its rate says. With ``keep_all`` every row comes at least once."""
     model = learn(docs, label_col, id_col, text_col)
-    _, rates = fit_mix(docs.select(text_col), model, targets, text_col, keep_all)
     n = fresh(docs, "tokens", "posterior", "copy")
-    rows = with_posteriors(docs, model, text_col, n["tokens"], n["posterior"])
+    # each text is classified once: the rows are written with their posteriors, and read once a step without the rest
+    rows = cut(with_posteriors(docs, model, text_col, n["tokens"], n["posterior"]))
+    rates = fit_rates(rows, n["tokens"], n["posterior"], _weights(model, targets), keep_all)
     times = copies(rates.column(F.col(n["posterior"]), len(model.domains)), F.col(id_col), F.xxhash64(text_col))
     return rows.withColumn(n["copy"], F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
@@ -192,5 +206,5 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.withColumn("rate", F.round(rates.column(F.col("posterior"), len(model.domains)), 6))
     return out.select(
         "doc_id", "source", "tokens", F.element_at(F.array(*map(F.lit, model.domains)), best).alias("domain"),
-        "posterior", "rate", copies(F.col("rate"), "doc_id", "h").alias("copies"),
+        "posterior", "rate", copies(F.col("rate"), "doc_id", "h").alias("copies"), F.lit(rates.gap).alias("gap"),
     )

@@ -5,11 +5,12 @@ features and ordered thresholds theta. w is sparse (proximal steps with an L1 pe
 many harmless words of a long text don't add up. Every text gets its expected grade and the
 probability of the highest grade, by which it is kept.
 
-The fit uses at most ``PER_GRADE`` labelled rows of each grade (smallest id hash), weighted to the
-labels' true proportions; scoring reads each whole text.
+The fit uses at most ``PER_GRADE`` rated ids of each grade (smallest id hash), weighted by the square roots of
+the labels' true proportions, that is between these and equal weights; scoring reads each whole text.
 
 Defined cases: a null text or one without a token gets grade 0 and is not kept; labels with a null
-rating and those of unknown documents are not learned from; repeated labels each count; without
+rating and those of unknown documents are not learned from; repeated labels are learned from once and each
+count in the proportions; of documents with one id the text of the smallest hash is learned from; without
 any usable label nothing is known and every text with a token is kept, with null scores; with one
 grade only, that grade is expected of all; equal texts get equal scores; extra columns pass through,
 but those named like an added one are replaced; an empty table gives an empty result.
@@ -102,11 +103,12 @@ def fit(grades: list[int], at: list[np.ndarray], value: list[np.ndarray], counts
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Ordinal | None:
     rated = labels.select(F.col(id_col).alias("id"), grade().alias("grade")).where("id IS NOT NULL")
-    sample, counts = bounded_sample(rated, "grade", "id", per_grade)
+    sample, counts = bounded_sample(rated, "grade", ["id"], per_grade)
     if not counts:
         return None
     # at most per_grade rows a grade: small enough to be sent to every task
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("id", "grade")), "id")
+    rows = rows.groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     grades, at, value = collect_features(rows, "grade", "text")
     return fit(grades, at, value, counts) if grades else None
 

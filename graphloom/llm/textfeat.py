@@ -1,4 +1,4 @@
-"""Hashed text features and bounded learning samples, for operators 1 and 7."""
+"""Hashed text features, for operators 1 and 7, and bounded learning samples, for operators 1, 7 and 8."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.words import Hasher, batches, lettered, mix, owners, spaced
@@ -85,17 +84,35 @@ class Features:
         return o[new]
 
 
-def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int) -> tuple[DataFrame, dict]:
-    """At most ``per_class`` rows of each non-null class, by smallest hash of the id, and the classes' full counts."""
-    rows = rows.where(F.col(class_col).isNotNull())
+def bounded_sample(rows: DataFrame, class_col: str, key: Sequence[str], per_class: int) -> tuple[DataFrame, dict]:
+    """At most ``per_class`` rows of each non-null class, by smallest hash of the ``key``, and the classes' full counts.
+
+    Rows with one class and key are one row, so they should agree in all else that is used. A class never loses a row while
+    it has no more than the bound: the hash below which rows are looked at is raised until it has enough, or all. No more
+    than about ten times the bound of hashes a class is ever gathered. Added is ``sample_hash``.
+    """
+    rows = rows.where(F.col(class_col).isNotNull()).withColumn("sample_hash", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *key), 1))
     counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect()}  # a row a class
+    top = (1 << 63) - 1
+    bound = {k: min(1.0, 2 * per_class / n) for k, n in counts.items()}
+    below: dict = {}
+
+    def under(limits: dict) -> Column:
+        return F.col("sample_hash") <= F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v).cast("bigint"))]), F.col(class_col))
+
+    while todo := [k for k in counts if k not in below]:
+        some = rows.where(F.col(class_col).isin(todo)).select(class_col, "sample_hash").where(under({k: min(top, int(bound[k] * top)) for k in todo})).distinct()
+        found = some.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"), F.get(F.sort_array(F.collect_list("sample_hash")), F.lit(per_class - 1)).alias("last"))
+        for k, _, last in found.collect():  # a row a class
+            if last is not None:
+                below[k] = last
+        for k in todo:
+            if k not in below and bound[k] == 1.0:
+                below[k] = top
+            bound[k] = min(1.0, 8 * bound[k])
     if not counts:
         return rows.limit(0), {}
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * per_class / n + 60 / n))]), F.col(class_col))
-    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30))
-    some = rows.withColumn("__h", h).where(F.col("__h") < share * (1 << 30))
-    first = F.row_number().over(W.partitionBy(class_col).orderBy("__h"))
-    return some.withColumn("__n", first).where(F.col("__n") <= per_class).drop("__h", "__n"), counts
+    return rows.where(under(below)).dropDuplicates([class_col, "sample_hash"]), counts
 
 
 def collect_features(rows: DataFrame, class_col: str, text_col: str) -> tuple[list, list[np.ndarray], list[np.ndarray]]:

@@ -5,11 +5,11 @@ A hash is polynomial over the word's bytes, from running sums, and then mixed; n
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import regex
 import xxhash
 
 #: Bytes over which one running sum goes; a longer word is hashed by itself.
@@ -85,8 +85,12 @@ def spaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(1)
 def letters() -> np.ndarray:
     """Per code point: 2 for letters (category L), 1 for marks (M), which go on with a word, else 0. Made once a process."""
-    kinds = (unicodedata.category(chr(c))[0] for c in range(0x110000))
-    return np.fromiter((2 if k == "L" else 1 if k == "M" else 0 for k in kinds), np.uint8, 0x110000)
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.zeros(len(every), np.uint8)
+    for pattern, kind in ((r"\p{L}+", 2), (r"\p{M}+", 1)):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
 
 
 _ASCII_LETTERS = np.zeros(256, bool)

@@ -30,10 +30,10 @@ def test_contract(spark, sf_dir):
 def test_edge_cases(docs_of):
     docs = docs_of(_rows())
     model = learn(docs, F.lit(True))
-    odd = docs_of([(1, None), (2, ""), (3, "123 !?"), (4, "haus und wasser"), (4, "haus und wasser"), (5, "a"), (6, "la maison " * 200_000)]).withColumn("Score", F.lit("x"))
+    odd = docs_of([(1, None), (2, ""), (3, "123 !?"), (4, "haus und wasser"), (4, "haus und wasser"), (5, "a"), (6, "la maison " * 200_000), (7, "½ ² ³ ① Ⅷ — 12"), (8, "\u0301")]).withColumn("Score", F.lit("x"))
     got = predict(odd.select("doc_id", "Score", "text"), model).collect()
     pred = {r.doc_id: r.lang_pred for r in got}
-    assert len(got) == 7 and [pred[i] for i in (1, 2, 3)] == ["und"] * 3 and pred[4] == "bb" and pred[6] == "cc" and pred[5] in WORDS
+    assert len(got) == 9 and [pred[i] for i in (1, 2, 3, 7, 8)] == ["und"] * 5 and pred[4] == "bb" and pred[6] == "cc" and pred[5] in WORDS
     assert predict(odd.select("doc_id", "text"), None).select("lang_pred").distinct().collect()[0][0] == "und"
     assert learn(docs.limit(0), F.lit(True)) is None and predict(odd.select("doc_id", "text").limit(0), model).isEmpty()
 
@@ -55,3 +55,9 @@ def test_scores_against_the_kernel_itself():
     want = k @ np.linalg.lstsq(k @ k + 1e-2 * len(rows) * k, k @ y, rcond=1e-10)[0]
     got = np.array([matrix[s].sum(0) / np.sqrt(len(s)) for s in sets])
     assert np.abs(got - want).max() < 1e-2
+
+
+def test_a_language_of_one_id_is_learned(spark, docs_of):
+    rows = [(i if lang != "cc" else 5, t, lang) for i, t, lang in _rows(400)]
+    names, _ = learn(docs_of(rows), F.lit(True))
+    assert names == sorted(WORDS)

@@ -48,12 +48,13 @@ def test_query(spark, sf_dir):
     assert len(rows) == len(docs) and all(r.tokens == len(docs[r.doc_id].text.split()) for r in rows)
     sums = np.sum([np.array(r.posterior) * r.tokens * r.rate for r in rows], axis=0)
     assert sums / sums.sum() == pytest.approx([TARGETS[k] for k in sorted(TARGETS)], abs=0.01)
+    assert all(0 <= r.gap <= 0.01 for r in rows)
     assert np.mean([r.domain == docs[r.doc_id].lang for r in rows]) > 0.9
 
 
 def test_mix_keeps_every_row_and_edge_cases(spark, docs_of):
     rows = [(i, "alpha beta gamma " * (1 + i % 3), "x") for i in range(30)] + [(100 + i, "eins zwei drei vier", "y") for i in range(10)]
-    rows += [(None, None, None), (200, "", "x"), (201, "alpha beta", None), (201, "alpha beta", None)]
+    rows += [(None, None, None), (200, "", "x"), (201, "alpha beta", None), (201, "alpha beta", None), (202, "eins zwei " * 150_000, "y")]
     docs = docs_of(rows).withColumn("tokens", F.lit("mine"))
     got = mix(docs, {"x": 1.0, "y": 1.0, "z": 5.0}, "lang")
     assert got.columns == docs.columns

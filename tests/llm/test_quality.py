@@ -83,3 +83,15 @@ def test_query(spark, sf_dir):
     got = op7_ordinal_quality(spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert got.columns == ["doc_id", "expected_grade", "tail_prob", "keep"]
+
+
+def test_held_out_labels(spark, sf_dir):
+    """Fitted on the documents of odd ids, the query's operator keeps nearly all good ones of even ids, and few others."""
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = learn(docs, labels.where("doc_id % 2 = 1"))
+    held = labels.where("doc_id % 2 = 0 AND quality IS NOT NULL AND toxic IS NOT NULL")
+    got = score(docs.select("doc_id", "text"), model).drop("text").join(held, "doc_id").collect()
+    good = [r.keep for r in got if r.quality == 1 and r.toxic == 0]
+    other = [r.keep for r in got if not (r.quality == 1 and r.toxic == 0)]
+    assert len(good) > 1000 and np.mean(good) > 0.97 and np.mean(other) < 0.1

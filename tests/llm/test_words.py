@@ -1,9 +1,12 @@
+import unicodedata
+
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from graphloom.llm.textfeat import Features
-from graphloom.llm.words import REACH, Hasher, batches, owners, runs, spaced
+from graphloom.llm.textfeat import Features, bounded_sample
+from graphloom.llm.words import REACH, Hasher, batches, lettered, letters, owners, runs, spaced
 
 HASHER = Hasher()
 
@@ -45,3 +48,34 @@ def test_features_do_not_depend_on_neighbours():
         _, a, v = f([t])
         assert at[row == i].tolist() == a.tolist() and value[row == i].tolist() == v.tolist()
     assert not (row == 1).any() and f([])[0].size == 0
+
+
+def test_letters_are_those_of_unicode():
+    table = letters()
+    for c in [*range(0x3000), 0x4E00, 0xD800, 0x1D7CE, 0x1F600, 0x20000]:
+        kind = unicodedata.category(chr(c))
+        assert kind == "Cn" or table[c] == {"L": 2, "M": 1}.get(kind[0], 0)  # Cn: not yet assigned in this version
+
+
+@given(st.text(alphabet="ab z0-é—ß²½①Ⅷ中あ𠀀😀\u0301\n", max_size=30))
+def test_lettered(text):
+    data = np.frombuffer(("\n" + text.lower()).encode(), np.uint8)
+    s, e = lettered(data)
+    want = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
+    assert [data[a:b].tobytes().decode() for a, b in zip(s, e, strict=True)] == want
+
+
+@pytest.mark.parametrize("n", [1, 7, 5000])
+def test_samples_keep_every_class(spark, n):
+    """Ids that are all equal or null, equal rows, and a class of one row beside a large one."""
+    rows = spark.range(20_000).selectExpr("'a' AS k", "id", "concat('t', id) AS text")
+    rows = rows.union(spark.range(n).selectExpr("'b'", "7L", "concat('t', id)")).union(spark.range(n).selectExpr("'c'", "CAST(NULL AS LONG)", "concat('t', id)"))
+    rows = rows.union(spark.range(3000).selectExpr("'d'", "5L", "'same'")).union(spark.range(1).selectExpr("'e'", "id", "'one'")).union(spark.range(9).selectExpr("CAST(NULL AS STRING)", "id", "'x'"))
+    found, counts = bounded_sample(rows.repartition(5), "k", ["id", "text"], 50)
+    got = found.collect()
+    assert counts == {"a": 20_000, "b": n, "c": n, "d": 3000, "e": 1}
+    per = {k: sum(r.k == k for r in got) for k in counts}
+    assert per == {"a": 50, "b": min(n, 50), "c": min(n, 50), "d": 1, "e": 1}
+    every = rows.where("k = 'a'").selectExpr("id", "shiftrightunsigned(xxhash64('sample', id, text), 1) AS h").orderBy("h").limit(50).collect()
+    assert {r.id for r in got if r.k == "a"} == {r.id for r in every}
+    assert bounded_sample(rows.limit(0), "k", ["id", "text"], 50)[0].isEmpty()
