@@ -4,7 +4,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm.chat import END, MORE, SEP, START, format_chats, op9_chat_format, read_back
+from graphloom.llm.chat import END, MORE, SEP, START, format_chats, masked, op9_chat_format, read_back, unescape
 
 SCHEMA = "conv_id long, turn long, role string, text string, extra int"
 
@@ -60,3 +60,23 @@ def test_a_long_conversation(spark):
     rows = spark.range(3000).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "repeat('w ', 50) AS text")
     r = _texts(format_chats(rows))[1]
     assert len(r.back) == 3000 and len(r.loss_spans) == 1500 and r.formatted[r.loss_spans[-1].start :][:4] == "w w "
+
+
+def test_the_loss_mask_covers_each_text_once(spark):
+    """Spans at the ends of pieces, long and empty ones; code points beyond the first plane count one."""
+    texts = ["a" * 4096, "", "\U0001f600" * 5000, "<|im_end|>\n", "b" * 4095, None, "c", "</s>" * 3000, "[INST]"]
+    rows = [(k, i, "user" if (i + k) % 3 == 0 else "assistant", t, 0) for k in range(3) for i, t in enumerate(texts)] + [(9, 0, "user", "x", 0)]
+    made = format_chats(spark.createDataFrame(rows, SCHEMA))
+    got = {r.conv_id: r for r in made.select("conv_id", "formatted", "loss_spans", F.transform(masked(F.col("formatted"), F.col("loss_spans")), unescape).alias("texts")).collect()}
+    for k in (0, 1, 2, 9):
+        assert got[k].texts == [t or "" for c, _, role, t, _ in rows if c == k and role == "assistant"]
+        assert all(got[k].formatted[s.start - len(m) : s.start] == m for s in got[k].loss_spans for m in [SEP if got[k].formatted[: s.start].endswith(SEP) else MORE])
+
+
+def test_sums_before(spark):
+    from graphloom.llm.chat import _before
+
+    lists = [[i * i % 7 for i in range(n)] for n in (1, 2, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<bigint>")
+    for x, got in df.select("x", _before(F.col("x"), 256)).collect():
+        assert got == [sum(x[:i]) for i in range(len(x))]
