@@ -1,8 +1,9 @@
 """Operator 3: sharding by fixed virtual slots.
 
 Records are hashed into a fixed number of virtual slots. The bytes of every slot are aggregated,
-and a versioned map from slot to shard is edited (slots moved or swapped) until the shards hold
-nearly equal bytes. Later runs edit the stored map instead of hashing anew, so that few rows move.
+and a map from slot to shard is edited (slots moved or swapped) until the shards hold nearly equal
+bytes. Each version of the map is stored in a folder of its own; later runs edit the last one that is
+stored whole instead of dealing anew, so that few rows move, and a run that changes nothing adds no version.
 
 Only DataFrame functions touch the rows; the driver sees the map, whose size is the number of slots.
 
@@ -14,51 +15,47 @@ empty result. Columns of the input named like an added one are replaced; working
 from __future__ import annotations
 
 import bisect
-from dataclasses import dataclass, field
+import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh, table
+from graphloom.llm.common import fresh, shared_dir, table
 
 N_SHARDS = 16
 N_SLOTS = 4096
 
 
-@dataclass
+@dataclass(frozen=True)
 class SlotMap:
-    """Versions of the map from virtual slot to shard; ``versions[v][slot]`` is a shard."""
+    """A version of the map from virtual slot to shard: ``owner[slot]`` is a shard."""
 
     n_slots: int = N_SLOTS
     n_shards: int = N_SHARDS
-    versions: list[list[int]] = field(default_factory=list)
+    owner: tuple[int, ...] = ()
+    version: int = 0
 
     def __post_init__(self) -> None:
-        if not self.versions:
-            self.versions.append([s % self.n_shards for s in range(self.n_slots)])
-
-    @property
-    def current(self) -> list[int]:
-        return self.versions[-1]
-
-    @property
-    def version(self) -> int:
-        return len(self.versions) - 1
+        if not self.owner:
+            object.__setattr__(self, "owner", tuple(s % self.n_shards for s in range(self.n_slots)))
+        if len(self.owner) != self.n_slots or not all(0 <= s < self.n_shards for s in self.owner):
+            raise ValueError("a slot map gives each of its slots one of its shards")
 
     def rebalance(self, weight: dict[int, int], n_shards: int | None = None) -> SlotMap:
-        """Append a version in which the shards' weights are nearly equal.
+        """The next version, in which the shards' weights are nearly equal; this one, if no edit helps.
 
         While it helps, the heaviest shard gives a slot to the lightest, or swaps one with it. Each
-        edit lessens the sum of squared loads, so the loop ends. Ties go to the smaller slot.
+        edit lessens the sum of squared loads, so the loop ends. Ties go to the smaller slot. The map itself is not changed.
         """
-        self.n_shards = n_shards or self.n_shards
-        owner = list(self.current)
-        inside: list[list[tuple[int, int]]] = [[] for _ in range(self.n_shards)]
-        load = [0] * self.n_shards
+        n_shards = n_shards or self.n_shards
+        owner = list(self.owner)
+        inside: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
+        load = [0] * n_shards
         for slot, shard in enumerate(owner):
-            if shard >= self.n_shards:
-                shard = owner[slot] = slot % self.n_shards
+            if shard >= n_shards:
+                shard = owner[slot] = slot % n_shards
             bisect.insort(inside[shard], (weight.get(slot, 0), slot))
             load[shard] += weight.get(slot, 0)
 
@@ -68,7 +65,7 @@ class SlotMap:
             return min(near, key=lambda x: (abs(x[0] - goal), x[1]), default=None)
 
         while True:
-            order = sorted(range(self.n_shards), key=lambda s: (load[s], s))
+            order = sorted(range(n_shards), key=lambda s: (load[s], s))
             low, high = order[0], order[-1]
             gap = load[high] - load[low]
             move = nearest(inside[high], gap / 2, gap)
@@ -91,25 +88,45 @@ class SlotMap:
             net = give[0] - (back[0] if back else 0)
             load[high] -= net
             load[low] += net
-        self.versions.append(owner)
-        return self
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        rows = ",".join(f"({v},{s},{shard})" for v, m in enumerate(self.versions) for s, shard in enumerate(m))
-        return spark.sql(f"SELECT * FROM VALUES {rows} AS t(version, slot, shard)")
+        if tuple(owner) == self.owner and n_shards == self.n_shards:
+            return self
+        return SlotMap(self.n_slots, n_shards, tuple(owner), self.version + 1)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
+        """Add this version to those under ``path``. A version that is there whole is never written again."""
+        folder = f"{path}/version={self.version}"
+        if not _whole(spark, folder):
+            rows = ",".join(f"({slot},{shard},{self.n_shards})" for slot, shard in enumerate(self.owner))
+            spark.sql(f"SELECT * FROM VALUES {rows} AS t(slot, shard, n_shards)").coalesce(1).write.mode("overwrite").parquet(folder)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SlotMap:
-        rows = spark.read.parquet(path).orderBy("version", "slot").collect()  # versions x slots
-        versions: list[list[int]] = []
-        for r in rows:
-            if r.version == len(versions):
-                versions.append([])
-            versions[-1].append(r.shard)
-        return cls(len(versions[-1]), max(versions[-1]) + 1, versions)
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """The stored map of this version, or the last one that is there whole; None without one."""
+        if version is None:
+            fs, at = _files(spark, path)
+            names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+            stored = sorted((int(x.split("=")[1]) for x in names if x.startswith("version=")), reverse=True)
+            version = next((v for v in stored if _whole(spark, f"{path}/version={v}")), None)
+        if version is None:
+            return None
+        rows = spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()  # a row a slot
+        return cls(len(rows), rows[0].n_shards, tuple(r.shard for r in rows), version)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _whole(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder's last writer ended."""
+    fs, at = _files(spark, f"{folder}/_SUCCESS")
+    return fs.exists(at)
+
+
+def map_folder(spark: SparkSession, name: str) -> str:
+    """Where the slot map of the table of that name is kept: in the shared folder."""
+    return f"{shared_dir(spark)}/slot-maps/{zlib.crc32(name.encode()):08x}"
 
 
 def _lookup(values: list[int], index: Column) -> Column:
@@ -122,23 +139,31 @@ def record_slot(id_col: str, crc: Column, n_slots: int) -> Column:
 
 
 def shard_by_slots(
-    docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, n_shards: int | None = None, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None,
+    id_col: str = "doc_id", text_col: str = "text", store: str | None = None,
 ) -> tuple[DataFrame, SlotMap]:
-    """All columns of ``docs`` and size, text_crc32, virtual_slot, shard, slot, map_version; and the map.
+    """All columns of ``docs`` and size, text_crc32, virtual_slot, shard, slot, map_version; and the map used.
 
     ``slot`` is the row's place in its shard, without gaps from 0: the rows that lie in the shard's
-    earlier virtual slots, and then the place within its own, by id, crc and size. Without
-    ``slot_map`` a uniform map is made; either way a rebalanced version is appended.
+    earlier virtual slots, and then the place within its own, by id, crc and size.
+
+    The map is ``slot_map``, or else the last one stored under ``store``, or else a uniform one of ``n_slots`` slots and
+    ``n_shards`` (16) shards. It is edited until the shards are balanced, and the new version is stored. A given
+    or stored map's own numbers of slots and of shards hold, the latter unless ``n_shards`` says otherwise.
     """
+    spark = docs.sparkSession
+    slot_map = slot_map or (store and SlotMap.load(spark, store)) or SlotMap(n_slots, n_shards or N_SHARDS)
+    n_slots = slot_map.n_slots
     n = fresh(docs, "size", "crc", "slot", "at")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rec = docs.withColumns({n["size"]: F.octet_length(text).cast("long") + 1, n["crc"]: F.crc32(text.cast("binary"))})
     rec = rec.withColumn(n["slot"], record_slot(id_col, F.col(n["crc"]), n_slots))
     per_slot = rec.groupBy(n["slot"]).agg(F.sum(n["size"]).alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
-    slot_map = (slot_map or SlotMap(n_slots, n_shards)).rebalance({r[0]: r.bytes for r in per_slot}, n_shards)
-    rows, filled, first = {r[0]: r.rows for r in per_slot}, [0] * n_shards, []
-    for slot, shard in enumerate(slot_map.current):
+    slot_map = slot_map.rebalance({r[0]: r.bytes for r in per_slot}, n_shards)
+    if store:
+        slot_map.save(spark, store)
+    rows, filled, first = {r[0]: r.rows for r in per_slot}, [0] * slot_map.n_shards, []
+    for slot, shard in enumerate(slot_map.owner):
         first.append(filled[shard])
         filled[shard] += rows.get(slot, 0)
     place = F.row_number().over(W.partitionBy(n["slot"]).orderBy(id_col, n["crc"], n["size"]))
@@ -147,7 +172,7 @@ def shard_by_slots(
         F.col(n["size"]).alias("size"),
         F.col(n["crc"]).alias("text_crc32"),
         F.col(n["slot"]).alias("virtual_slot"),
-        _lookup(slot_map.current, F.col(n["slot"])).cast("int").alias("shard"),
+        _lookup(list(slot_map.owner), F.col(n["slot"])).cast("int").alias("shard"),
         (_lookup(first, F.col(n["slot"])) + F.col(n["at"]) - 1).alias("slot"),
         F.lit(slot_map.version).alias("map_version"),
     )
@@ -155,7 +180,8 @@ def shard_by_slots(
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = shard_by_slots(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, _ = shard_by_slots(docs, N_SHARDS, store=map_folder(spark, f"op3 {sf_dir}"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
