@@ -1,11 +1,13 @@
 """Operator 5: near-duplicates by DartMinHash.
 
-Each text is the set of its shingles (five words, lower-cased, split at white space; a shorter text is
-one shingle), each of weight 1, so that the weighted Jaccard similarity is the sets' own. Darts are
-thrown, by hashing, into unit regions of the (weight, rank) plane of every element: about
+Each text is the weighted set of its shingles (five words, lower-cased, split at white space; a shorter text is
+one shingle); a shingle's weight is how often it occurs. Two texts' likeness is the weighted Jaccard similarity: the
+sum of the lesser weights over that of the greater. Darts are thrown, by hashing, into the region of the
+(weight, rank) plane that each element's weight opens: about
 k ln k + 2k darts fall below the weights in all, however many elements a text has. Of each of the k
 coordinates the earliest dart is kept. Bands of coordinates are joined, and every pair so found
-that could change the classes is checked against the exact similarity of the shingle sets.
+that could change the classes is checked against the exact similarity. For that a shingle of weight w is w
+elements, the hashes (64 bits) of the shingle and of each number below w: the Jaccard similarity of such sets is the weighted one.
 
 Texts with equal sets are one node from the start. In each bucket of a band the first node is compared
 with the others. Where nodes of different classes remain in a bucket, their candidates come from an exact
@@ -45,13 +47,13 @@ SENT_NODES = 4_000_000
 
 
 class Shingles:
-    """Texts -> (owner, hash) of the distinct shingles, sorted by both."""
+    """Texts -> (owner, hash, weight) of the distinct shingles, sorted by the first two."""
 
     def __init__(self, words: int = SHINGLE) -> None:
         self.hasher, self.words = Hasher(), words
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first text, number of texts, owners, hashes), part by part."""
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first text, number of texts, owners, hashes, weights), part by part."""
         for first, data, begins in batches([t.lower() for t in texts]):
             s, e = spaced(data)
             owner, word = owners(begins, s), self.hasher.spans(data, s, e)
@@ -72,7 +74,17 @@ class Shingles:
             own, h = own[order], h[order]
             new = np.ones(len(own), bool)
             new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
-            yield first, n, own[new], h[new]
+            at = np.flatnonzero(new)
+            yield first, n, own[at], h[at], np.diff(np.append(at, len(own)))
+
+
+def elements(owner: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set as a plain one, (owner, hash): as many elements of each shingle as it weighs. The first is the shingle's own hash."""
+    if not len(h) or weight.max() == 1:
+        return owner, h
+    e = np.repeat(np.arange(len(h)), weight)
+    number = (np.arange(len(e)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(np.uint64)
+    return owner[e], np.where(number > 0, mix(h[e] + number * np.uint64(0xC2B2AE3D27D4EB4F)), h[e])
 
 
 class Darts:
@@ -153,17 +165,17 @@ def _node(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """row, doc_id, text -> row, doc_id, node, n (shingles), bands."""
+    """row, doc_id, text -> row, doc_id, node, n (the shingles' weight), bands."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, darts = Shingles(), Darts()
         for b in parts:
             texts = [t or "" for t in b.column(2).to_pylist()]
             nodes, sizes, bands = [], [], []
-            for _, n, owner, h in shingles(texts):
-                nodes.append(_node(owner, h, n))
-                sizes.append(np.bincount(owner, minlength=n))
-                bands.append(band_keys(darts(n, owner, h)))
+            for _, n, owner, h, weight in shingles(texts):
+                nodes.append(_node(*elements(owner, h, weight), n))
+                sizes.append(np.bincount(owner, weight, n).astype(np.int64))
+                bands.append(band_keys(darts(n, owner, h, weight.astype(np.float64))))
             if nodes:
                 keys = np.concatenate(bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
@@ -173,7 +185,7 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the n ``wanted`` (row): sorted 32-bit hashes as bytes."""
+    """(node, shingles) of the n ``wanted`` (row): sorted 64-bit hashes of the elements, as bytes."""
     spark = rows.sparkSession
     chosen = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["row"].to_numpy(np.int64))) if n <= SENT_NODES else None
 
@@ -186,11 +198,11 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 b = b.filter(pa.array(chosen.value[at] == row if len(chosen.value) else np.zeros(len(row), bool)))
             texts = [t or "" for t in b.column(1).to_pylist()]
             nodes, sets = [], []
-            for _, n, owner, h in shingles(texts):
+            for _, n, *weighted in shingles(texts):
+                owner, h = elements(*weighted)
                 nodes.append(_node(owner, h, n))
                 ends = np.searchsorted(owner, np.arange(n + 1))
-                short = (h >> np.uint64(32)).astype(np.uint32)
-                sets += [np.unique(short[ends[i] : ends[i + 1]]).tobytes() for i in range(n)]
+                sets += [np.unique(h[ends[i] : ends[i + 1]]).tobytes() for i in range(n)]
             if nodes:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(nodes)), pa.array(sets, pa.binary())], names=["row", "node", "shingles"])
 
@@ -213,11 +225,11 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for i in range(0, b.num_rows, 500):
-                got = [np.frombuffer(x, np.uint32) for x in b.column(1)[i : i + 500].to_pylist()]
+                got = [np.frombuffer(x, np.int64) for x in b.column(1)[i : i + 500].to_pylist()]
                 length = np.array([len(x) for x in got])
                 node = np.repeat(b.column(0)[i : i + 500].to_numpy(), length)
                 size = np.repeat(length, length)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(got).astype(np.int64)), pa.array(size)], names=["node", "bucket", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(got)), pa.array(size)], names=["node", "bucket", "size"])
 
     each = sets.mapInArrow(read, "node long, bucket long, size long")
     often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -247,7 +259,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             left, right = (b.column(i).to_pylist() for i in (2, 3))
             keep = []
             for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))

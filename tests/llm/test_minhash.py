@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,8 +11,9 @@ from graphloom.llm.minhash import Darts, band_keys, classes, deduplicate, op5_da
 
 
 def _shingles(text):
+    """How often each occurs."""
     w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def _want(rows):
@@ -24,7 +26,7 @@ def _want(rows):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-12:
+        if sets[a] and sets[b] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total() - 1e-12:
             root[find(b)] = find(a)
     groups = {}
     for i in range(len(rows)):
@@ -69,6 +71,15 @@ def test_classes_against_all_pairs(docs_of, seed):
     assert all((r.doc_id == r.class_id) == r.keep for r in found)
 
 
+def test_repeated_shingles_weigh_more(docs_of):
+    """Texts of equal shingle sets that occur unequally often, and long runs of one line."""
+    r = random.Random(8)
+    line, rest = " ".join(_text(r, 6)), " ".join(_text(r, 60))
+    rows = [(i, f"{line} " * k + rest) for i, k in enumerate([1, 2, 3, 10, 11, 12, 40, 80])] + [(20, f"{line} " * 4000), (21, f"{line} " * 4100), (22, f"{line} " * 6000)]
+    found = classes(docs_of(rows)).collect()
+    assert _got(rows, found) == _want(rows) and len(_want(rows)) > 4
+
+
 def test_query_against_all_pairs(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert _got(rows, op5_dart_minhash(spark, sf_dir).collect()) == _want(rows)
