@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh, shared_dir, table
+from graphloom.llm.common import files, fresh, shared_dir, table
 
 N_SHARDS = 16
 N_SLOTS = 4096
@@ -46,7 +46,7 @@ class SlotMap:
     def rebalance(self, weight: dict[int, int], n_shards: int | None = None) -> SlotMap:
         """The next version, in which the shards' weights are nearly equal; this one, if no edit helps.
 
-        While it helps, the heaviest shard gives a slot to the lightest, or swaps one with it. Each
+        While it helps, the heaviest shard that can gives a slot to the lightest, or swaps one with it. Each
         edit lessens the sum of squared loads, so the loop ends. Ties go to the smaller slot. The map itself is not changed.
         """
         n_shards = n_shards or self.n_shards
@@ -64,9 +64,8 @@ class SlotMap:
             near = [x for x in items[max(0, at - 1) : at + 1] if above < x[0] < below]
             return min(near, key=lambda x: (abs(x[0] - goal), x[1]), default=None)
 
-        while True:
-            order = sorted(range(n_shards), key=lambda s: (load[s], s))
-            low, high = order[0], order[-1]
+        def edit(low: int, high: int) -> tuple[float, tuple[int, int], tuple[int, int] | None] | None:
+            """What brings the two shards nearest: a slot that ``high`` gives, and one that it gets for it."""
             gap = load[high] - load[low]
             move = nearest(inside[high], gap / 2, gap)
             best = (abs(move[0] - gap / 2), move, None) if move else None
@@ -75,6 +74,13 @@ class SlotMap:
                     give = nearest(inside[high], gap / 2 + back[0], gap + back[0], back[0])
                     if give and (best is None or abs(give[0] - back[0] - gap / 2) < best[0]):
                         best = (abs(give[0] - back[0] - gap / 2), give, back)
+            return best
+
+        while True:
+            order = sorted(range(n_shards), key=lambda s: (load[s], s))
+            low = order[0]
+            # a shard of one heavy slot has none to give: then the next heaviest does
+            high, best = next(((h, e) for h in reversed(order[1:]) if (e := edit(low, h))), (low, None))
             if best is None:
                 break
             _, give, back = best
@@ -103,7 +109,7 @@ class SlotMap:
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
         """The stored map of this version, or the last one that is there whole; None without one."""
         if version is None:
-            fs, at = _files(spark, path)
+            fs, at = files(spark, path)
             names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
             stored = sorted((int(x.split("=")[1]) for x in names if x.startswith("version=")), reverse=True)
             version = next((v for v in stored if _whole(spark, f"{path}/version={v}")), None)
@@ -113,14 +119,9 @@ class SlotMap:
         return cls(len(rows), rows[0].n_shards, tuple(r.shard for r in rows), version)
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def _whole(spark: SparkSession, folder: str) -> bool:
     """Whether the folder's last writer ended."""
-    fs, at = _files(spark, f"{folder}/_SUCCESS")
+    fs, at = files(spark, f"{folder}/_SUCCESS")
     return fs.exists(at)
 
 

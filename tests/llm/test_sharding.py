@@ -51,6 +51,12 @@ def test_rebalancing_moves_little_and_is_kept(spark, tmp_path):
     assert SlotMap.load(spark, path) == third and SlotMap.load(spark, path, first.version) == first and SlotMap.load(spark, path, second.version) == second
 
 
+def test_a_slot_heavier_than_a_shard_leaves_the_others_balanced():
+    weight = {s: 10 + s % 3 for s in range(64)} | {0: 5000, 1: 2000}
+    load = sorted(_load(SlotMap(64, 8).rebalance(weight), weight))
+    assert load[-1] == 5000 and load[-2] == 2000 and load[5] - load[0] <= 12
+
+
 def test_a_broken_write_loses_no_version(spark, tmp_path):
     path, m = str(tmp_path / "map"), SlotMap(8, 3, (0, 0, 0, 0, 1, 1, 1, 1))  # the last shard is empty
     m.save(spark, path)
