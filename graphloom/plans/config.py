@@ -27,10 +27,12 @@ class RunConfig:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder that spark.checkpoint.dir names; our own only where that is unset."""
+    """Materialise in the folder that spark.checkpoint.dir names; our own only where that is unset, in local mode."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
 
