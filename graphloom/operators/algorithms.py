@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import superstep
 from graphloom.operators.graph import Graph
-from graphloom.plans.config import RunConfig, as_planned, cut, few, partitions
+from graphloom.plans.config import RunConfig, as_planned, cut, partitions
+
+#: Rows worth a partition of their own when parts of a search's result are merged.
+ROWS_A_PART = 1_000_000
+
+
+def _links(edges: DataFrame, small: bool) -> DataFrame:
+    """Edges kept in memory: where their messages are combined, if all state fits into every task; else where state is joined to them."""
+    return edges.repartition(partitions(edges.sparkSession), "dst" if small else "src").persist()
+
+
+def _fits(vertices: DataFrame, config: RunConfig) -> bool:
+    return vertices.limit(config.broadcast_rows + 1).count() <= config.broadcast_rows
 
 
 def bfs(graph: Graph, root: int, config: RunConfig | None = None) -> tuple[DataFrame, int]:
     """(id, level) of every vertex, null where out-edges lead to none; and the supersteps, the empty one included.
 
-    Only the frontier moves: its ends, without those that have a level, are the next one.
+    Only the frontier moves: its ends, without those that have a level, are the next one. What has a level is kept in parts of
+    growing size, merged as they come to be alike, so that a deep search doesn't read or write all of it ever again.
     """
     config = config or RunConfig()
-    links = graph.edges.select("src", "dst").distinct().repartition(partitions(graph.edges.sparkSession), "dst").persist()
-    seen = frontier = cut(graph.vertices.where(F.col("id") == root).select("id", F.lit(0).alias("level")))
-    steps = 0
+    small = _fits(graph.vertices, config)
+    links = _links(graph.edges.select("src", "dst").distinct(), small)
+    frontier = cut(graph.vertices.where(F.col("id") == root).select("id", F.lit(0).alias("level")))
+    n, steps = frontier.count(), 0
+    seen, sizes = [frontier], [n]
     while config.max_supersteps is None or steps < config.max_supersteps:
-        sources = few(frontier.select(F.col("id").alias("src")), config.broadcast_rows)
-        ends = links.join(sources, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        sources = frontier.select(F.col("id").alias("src"))
+        ends = links.join(F.broadcast(sources) if n <= config.broadcast_rows else sources, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         steps += 1
-        frontier = cut(ends.join(seen.select("id"), "id", "left_anti").select("id", F.lit(steps).alias("level")))
-        if frontier.isEmpty():
+        have = reduce(DataFrame.union, seen).select("id")
+        frontier = cut(ends.join(F.broadcast(have) if small else have, "id", "left_anti").select("id", F.lit(steps).alias("level")))
+        n = frontier.count()
+        if not n:
             break
-        seen = seen.union(frontier)
+        seen, sizes = [*seen, frontier], [*sizes, n]
+        while len(seen) > 4 and sizes[-2] < 2 * sizes[-1]:
+            merged = cut(seen[-2].union(seen[-1]).coalesce(max(1, -(-(sizes[-2] + sizes[-1]) // ROWS_A_PART))))
+            seen, sizes = [*seen[:-2], merged], [*sizes[:-2], sizes[-2] + sizes[-1]]
     links.unpersist()
-    return graph.vertices.select("id").join(seen, "id", "left"), steps
+    return graph.vertices.select("id").join(reduce(DataFrame.union, seen), "id", "left"), steps
 
 
 def sssp(graph: Graph, root: int, dense: bool = False, config: RunConfig | None = None) -> tuple[DataFrame, int]:
@@ -38,16 +60,19 @@ def sssp(graph: Graph, root: int, dense: bool = False, config: RunConfig | None
     With ``dense`` every reached vertex sends each time, to the same end. Weights must not be negative.
     """
     config = config or RunConfig()
-    links = graph.edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w")).repartition(partitions(graph.edges.sparkSession), "dst").persist()
+    small = _fits(graph.vertices, config)
+    links = _links(graph.edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w")), small)
     if not links.where("w < 0").isEmpty():
         raise ValueError("weights must not be negative")
     first = graph.vertices.select("id", F.when(F.col("id") == root, 0.0).alias("d"), (F.col("id") == root).alias("new"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        senders = few(state.where("d IS NOT NULL" if dense else "new").select(F.col("id").alias("src"), "d"), config.broadcast_rows)
-        messages = links.join(senders, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("m"))
+        # beyond the bound state and partial minima are shuffled; the edges stay where they are either way
+        senders = state.where("d IS NOT NULL" if dense else "new").select(F.col("id").alias("src"), "d")
+        messages = links.join(F.broadcast(senders) if small else senders, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("m"))
         better = F.col("m").isNotNull() & (F.col("d").isNull() | (F.col("m") < F.col("d")))
-        return state.join(messages, "id", "left").select("id", F.least("d", "m").alias("d"), better.alias("new"))
+        joined = state.join(messages, "id", "left")
+        return joined.select("id", F.least("d", "m").alias("d"), better.alias("new"))
 
     state, steps = superstep.run(cut(first), step, lambda s: s.where("new").isEmpty(), config)
     links.unpersist()
@@ -62,14 +87,12 @@ def pagerank(graph: Graph, supersteps: int = 100, damping: float = 0.85, config:
     """
     config = config or RunConfig()
     spark = graph.edges.sparkSession
-    n = partitions(spark)
     degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     share = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(degrees, "src")
     loops = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("p"))
     links = share.select("src", "dst", (F.col("times") / F.col("degree")).alias("p")).unionByName(loops)
-    small = graph.vertices.limit(config.broadcast_rows + 1).count() <= config.broadcast_rows
-    # with the ranks at hand in every task, edges stay where their sums are made; else where they are joined
-    links = links.repartition(n, "dst" if small else "src").persist()
+    small = _fits(graph.vertices, config)
+    links = _links(links, small)
 
     def step(rank: DataFrame, _: int) -> DataFrame:
         given = links.join(F.broadcast(rank) if small else rank, links.src == rank.id)

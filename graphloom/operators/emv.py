@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
+from graphloom.plans.config import scanned
 
 #: How messages to one vertex become one. ``list`` keeps all, sorted.
 COMBINERS: dict[str, Callable[[str], Column]] = {
@@ -41,9 +41,18 @@ def edge_map(graph: Graph, state: DataFrame, send: Callable[[Row], Column], acti
 
 
 def edgelist_map(graph: Graph, fold: Callable[[Column], Column], value: str = "val") -> DataFrame:
-    """(id, value): ``fold`` of each vertex's out-edges, an array of (dst, weight), sorted."""
-    lists = graph.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("dst", "weight"))).alias("out"))
-    return lists.select("id", fold(F.col("out")).alias(value))
+    """(id, value): ``fold`` of each vertex's out-edges, an array of (dst, weight), empty for a vertex without.
+
+    Edges that have an ``eid`` come as they are stored, the last one first (as in the layouts); others sorted by (dst, weight).
+    """
+    ends = F.struct("dst", "weight")
+    if "eid" in graph.edges.columns:
+        stored = F.sort_array(F.collect_list(F.struct("eid", ends.alias("edge"))), asc=False)
+        lists = graph.edges.groupBy(F.col("src").alias("id")).agg(F.transform(stored, lambda e: e["edge"]).alias("out"))
+    else:
+        lists = graph.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(ends)).alias("out"))
+    none = F.array().cast(lists.schema["out"].dataType)
+    return graph.vertices.select("id").join(lists, "id", "left").select("id", F.coalesce("out", none).alias("out")).select("id", fold(F.col("out")).alias(value))
 
 
 def message_map(messages: DataFrame, change: Callable[[Row], Column]) -> DataFrame:
@@ -67,9 +76,8 @@ def vertex_map(state: DataFrame, messages: DataFrame | None, update: Callable[[R
 
 
 def segmented_scan(messages: DataFrame, op: str, order: list[str]) -> DataFrame:
-    """Inclusive running ``op`` of the messages to each vertex; a vertex's messages are a segment."""
-    w = W.partitionBy("id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return messages.withColumn("val", COMBINERS[op]("val").over(w))
+    """Inclusive running ``op`` of the messages to each vertex; a vertex's messages are a segment, which many tasks may share."""
+    return scanned(messages.withColumnRenamed("val", "_in"), ["id", *order], ["id"], {"val": (op, F.col("_in"))}).select(*messages.columns)
 
 
 def edges_of(graph: Graph, frontier: DataFrame) -> DataFrame:

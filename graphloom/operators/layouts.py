@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
-from graphloom.plans.config import numbered
+from graphloom.plans.config import numbered, scanned
 
 HYBRID_WIDTH = 16
 
@@ -22,10 +22,8 @@ def _vertices(graph: Graph, by_degree: bool, sums: dict | None = None) -> DataFr
 
 
 def _ranked(graph: Graph) -> DataFrame:
-    """Edges with csr, their place by source, and k, their place among their source's."""
-    edges = numbered(graph.edges, [F.asc("src"), F.desc("eid")], "csr")
-    first = edges.groupBy("src").agg(F.min("csr").alias("first"))
-    return edges.join(first, "src").withColumn("k", F.col("csr") - F.col("first")).drop("first")
+    """Edges with k, their place among their source's. A hub's edges may lie in many ranges."""
+    return scanned(graph.edges, [F.asc("src"), F.desc("eid")], ["src"], {"k": ("count", F.lit(1))}).withColumn("k", F.col("k") - 1)
 
 
 def _place(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -60,9 +58,8 @@ def hybrid(graph: Graph, width: int = HYBRID_WIDTH) -> DataFrame:
 
 def message_slots(graph: Graph) -> DataFrame:
     """eid, slot (of csr), message_slot: messages lie by destination, and there by slot; head: the first of each."""
-    placed = numbered(csr(graph), [F.asc("dst"), F.asc("slot")], "message_slot")
-    first = placed.groupBy("dst").agg(F.min("message_slot").alias("first"))
-    return placed.join(first, "dst").select("eid", "src", "dst", "slot", "message_slot", (F.col("message_slot") == F.col("first")).cast("int").alias("head"))
+    placed = scanned(csr(graph), [F.asc("dst"), F.asc("slot")], ["dst"], {"nth": ("count", F.lit(1))}, index="message_slot")
+    return placed.select("eid", "src", "dst", "slot", "message_slot", (F.col("nth") == 1).cast("int").alias("head"))
 
 
 def relabel_by_degree(graph: Graph) -> Graph:

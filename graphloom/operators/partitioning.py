@@ -6,12 +6,14 @@ no fewer, lead to one of the part's own.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
-from graphloom.plans.config import cut
+from graphloom.plans.config import cut, scanned
 
 
 def sizes(owners: DataFrame) -> DataFrame:
@@ -68,6 +70,52 @@ def segments(routes: DataFrame) -> DataFrame:
     return counts.select("owner", "part", "n", before("owner", "part").alias("gather_start"), before("part", "owner").alias("scatter_start"))
 
 
+def local_ids(owners: DataFrame) -> DataFrame:
+    """(id, part, local): the place of each vertex among its owner's, by id."""
+    return scanned(owners.select("part", "id"), ["part", "id"], ["part"], {"local": ("count", F.lit(1))}).select("id", "part", (F.col("local") - 1).alias("local"))
+
+
+def physical_ids(owners: DataFrame, found: DataFrame) -> DataFrame:
+    """(part, id, hop, physical): where a part keeps its replicas, behind its own vertices, by hop and id."""
+    placed = scanned(found.select("part", "hop", "id"), ["part", "hop", "id"], ["part"], {"nth": ("count", F.lit(1))})
+    placed = placed.join(F.broadcast(sizes(owners)), "part", "left")  # a row a part
+    return placed.select("part", "id", "hop", (F.coalesce("n", F.lit(0)) + F.col("nth") - 1).alias("physical"))
+
+
+def gather_table(owners: DataFrame, routes: DataFrame) -> DataFrame:
+    """(owner, place, part, id, hop, local): what each owner sends, by the part it goes to, and there by hop and id."""
+    listed = scanned(routes.select("owner", "part", "hop", "id"), ["owner", "part", "hop", "id"], ["owner"], {"nth": ("count", F.lit(1))})
+    return listed.join(local_ids(owners).select("id", "local"), "id").select("owner", (F.col("nth") - 1).alias("place"), "part", "id", "hop", "local")
+
+
+def scatter_table(owners: DataFrame, found: DataFrame, routes: DataFrame) -> DataFrame:
+    """(part, place, owner, id, hop, physical): what each part gets, by the owner it comes from, in the order in which that sends it."""
+    listed = scanned(routes.select("part", "owner", "hop", "id"), ["part", "owner", "hop", "id"], ["part"], {"nth": ("count", F.lit(1))})
+    return listed.join(physical_ids(owners, found).drop("hop"), ["part", "id"]).select("part", (F.col("nth") - 1).alias("place"), "owner", "id", "hop", "physical")
+
+
+def hop_index(counts: DataFrame) -> DataFrame:
+    """(part, hop, n) and ``start``: what lies in the part's earlier hops. For replicas and for their edges; a row a part and hop."""
+    before = F.sum("n").over(W.partitionBy("part").orderBy("hop").rowsBetween(W.unboundedPreceding, -1))
+    return counts.select("part", "hop", "n", F.coalesce(before, F.lit(0)).cast("bigint").alias("start"))
+
+
+@dataclass(frozen=True)
+class Partitioned:
+    """A graph with its owners (id, part), replicas (part, id, hop), routes (owner, part, id, hop) and stored edges (part, src, dst)."""
+
+    graph: Graph
+    owners: DataFrame
+    replicas: DataFrame
+    routes: DataFrame
+    edges: DataFrame
+
+
+def partition(graph: Graph, owners: DataFrame, max_hop: int) -> Partitioned:
+    found = replicas(graph, owners, max_hop)
+    return Partitioned(graph, owners, found, routing(owners, found), stored_edges(graph, owners, found, max_hop))
+
+
 def refresh(copies: DataFrame, routes: DataFrame, state: DataFrame, value: str) -> DataFrame:
     """``copies`` (part, id, value) with the owners' values where a route has one, and their own where not."""
     sent = routes.select("part", "id").join(state.select("id", F.col(value).alias("_new")), "id")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
 def as_planned(spark: SparkSession, when: bool = True) -> Iterator[None]:
     """Without adaptive execution, which plans a chain of supersteps anew after each of its broadcasts.
 
-    For chains whose sizes are known; what is made inside should be materialised inside.
+    For chains whose sizes are known; what is made inside should be materialised inside. The setting is the session's: a
+    thread that shares the session should not plan meanwhile.
     """
     key = "spark.sql.adaptive.enabled"
     before = spark.conf.get(key)
@@ -57,29 +61,122 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most so many rows. It should be cheap to read twice."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _by_part(values: list, kind: str) -> Column:
+    """values[_part], from a text that the optimizer folds into an array: a value a partition, empty for none."""
+    at = F.get(F.split(F.lit(";".join("" if v is None else str(v) for v in values)), ";"), F.col("_part"))
+    return F.when(at != "", at).cast(kind)
+
+
+def _sorted_parts(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``df`` in sorted ranges, with the number of each row's range and the row's place in it. Nothing is shuffled after that."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranges.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+
+
+def _starts(parts: DataFrame, sums: list[str]) -> tuple[list[int], dict[str, list[int]]]:
+    """Per range its first number, and the sums over all ranges before it. A row a range passes the driver."""
+    totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast("bigint").alias(c) for c in sums]).orderBy("_part").collect()
+    size = totals[-1]["_part"] + 1 if totals else 0
+    begin, out = dict.fromkeys(["_n", *sums], 0), {k: [0] * size for k in ["_n", *sums]}
+    for t in totals:
+        for k in begin:
+            out[k][t["_part"]] = begin[k]
+            begin[k] += t[k] or 0
+    return out.pop("_n"), out
 
 
 def numbered(df: DataFrame, order: list[Column | str], index: str, sums: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with the place of each row in ``order`` (from 0) and, for each of ``sums``, the sum over the rows before it.
 
-    Rows are range-partitioned and sorted; one row a partition goes to the driver, which adds up where
-    each partition begins. No task sees more than its range.
+    Rows are range-partitioned and sorted, and numbered where they then lie; one row a partition goes to the driver, which adds
+    up where each partition begins. No task sees more than its range, and no row moves twice.
     """
-    sums = sums or {}
-    rows = cut(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
-    totals = rows.groupBy("_part").agg(F.count(F.lit(1)).alias(index), *[F.sum(c).cast("bigint").alias(k) for k, c in sums.items()]).orderBy("_part").collect()
-    begin, entries = dict.fromkeys([index, *sums], 0), []
-    for t in totals:
-        entries += [F.lit(t["_part"]), F.struct(*[F.lit(begin[k]).cast("bigint").alias(k) for k in begin])]
-        begin = {k: begin[k] + (t[k] or 0) for k in begin}
-    within = W.partitionBy("_part").orderBy(*order)
-    before = within.rowsBetween(W.unboundedPreceding, -1)
-    if not entries:
-        return rows.drop("_part").withColumns({k: F.lit(0).cast("bigint") for k in [index, *sums]})
-    start = F.element_at(F.create_map(*entries), F.col("_part"))
-    out = {index: F.row_number().over(within) - 1 + start[index]}
-    out |= {k: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint") + start[k] for k, c in sums.items()}
-    return rows.withColumns(out).drop("_part")
+    if not sums:
+        rows = cut(_sorted_parts(df, order))
+        first, _ = _starts(rows, [])
+        return rows.withColumn(index, F.col("_row") + _by_part(first, "bigint")).drop("_part", "_row")
+    found = scanned(df, order, [], {k: ("sum", c) for k, c in sums.items()}, index=index)
+    return found.withColumns({k: (F.col(k) - F.coalesce(c, F.lit(0))).cast("bigint") for k, c in sums.items()})
+
+
+#: What a running operation does with the value before and the next one.
+JOINED: dict[str, Callable[[Column, Column], Column]] = {
+    "sum": lambda a, b: a + b,
+    "count": lambda a, b: a + b,
+    "product": lambda a, b: a * b,
+    "min": F.least,
+    "max": F.greatest,
+    "any": lambda a, b: a | b,
+}
+_RUNNING = {"sum": "cumsum", "count": "cumsum", "product": "cumprod", "min": "cummin", "max": "cummax", "any": "cummax"}
+
+
+def scanned(df: DataFrame, order: list[Column | str], group: list[str], runs: dict[str, tuple[str, Column]], index: str | None = None) -> DataFrame:
+    """``df`` with inclusive running operations along ``order``, which begins with ``group``: per group, or over all rows.
+
+    Also ``index``, each row's place in the whole order. Values must not be null (in sums null is 0). A group as long as may be is cut by the ranges
+    like all else: every range is scanned by itself, in Arrow batches, and what its first group had before comes from one row a range.
+    """
+    values = {k: F.lit(1).cast("bigint") if op == "count" else F.coalesce(c, F.lit(0)) if op == "sum" else c for k, (op, c) in runs.items()}
+    parts = _sorted_parts(df.withColumns({f"_v_{k}": v for k, v in values.items()}), order).withColumn("_group", F.struct(*group) if group else F.lit(0))
+    kind = {k: parts.schema[f"_v_{k}"].dataType.simpleString() for k in runs}
+    kind |= {k: "bigint" for k, (op, _) in runs.items() if op == "sum" and kind[k] in ("int", "smallint", "tinyint")}
+    kept = [c for c in parts.columns if not c.startswith("_v_") and c not in ("_group", "_part", "_row")]
+    wide = parts.select(*kept, "_part", "_row", "_group", *[F.col(f"_v_{k}").cast(kind[k]).alias(f"_v_{k}") for k in runs])
+    ops = [_RUNNING[op] for op, _ in runs.values()]
+    names, grouped, first_value, n_group = list(runs), bool(group), len(kept) + 3, len(group)  # plain values: the function below goes to the executors
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # the group of the row before, and its running values
+        carried: list = []
+        head = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(first_value - 1)
+            columns = [keys.field(i).to_numpy(zero_copy_only=False) for i in range(n_group)] if grouped else [np.zeros(b.num_rows, np.int64)]
+            new = np.zeros(b.num_rows, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            goes_on = last is not None and last == tuple(c[0] for c in columns)
+            segment = np.cumsum(new)
+            out = []
+            for i, op in enumerate(ops):
+                v = b.column(first_value + i).to_pandas()
+                if goes_on:  # the value before joins the first one
+                    pair = pd.Series([carried[i], v.iloc[0]], dtype=v.dtype)
+                    v = v.copy()
+                    v.iloc[0] = getattr(pair, op)().iloc[1]
+                out.append(getattr(v.groupby(segment), op)())
+            in_head = (segment == 0) & (head and (goes_on or last is None))
+            head = bool(in_head[-1])
+            last, carried = tuple(c[-1] for c in columns), [v.iloc[-1] for v in out]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:first_value], *(pa.array(v, type=b.column(first_value + i).type, from_pandas=True) for i, v in enumerate(out)), pa.array(in_head)],
+                names=[*b.schema.names[:first_value], *names, "_head"],
+            )
+
+    schema = T.StructType([*wide.schema.fields[:first_value], *(T.StructField(k, wide.schema[f"_v_{k}"].dataType) for k in runs), T.StructField("_head", T.BooleanType())])
+    rows = cut(wide.mapInArrow(scan, schema))
+    tails = rows.groupBy("_part").agg(F.min_by("_group", "_row").alias("low"), F.max_by("_group", "_row").alias("high"), F.count(F.lit(1)).alias("n"), *[F.max_by(k, "_row").alias(k) for k in runs])
+    tails = tails.orderBy("_part").collect()  # a row a range
+    size = tails[-1]["_part"] + 1 if tails else 0
+    first, before, total = [0] * size, {k: [None] * size for k in runs}, 0
+    held, so_far = None, {}
+    for t in tails:
+        first[t["_part"]], total = total, total + t["n"]
+        goes_on = bool(so_far) and held == t["low"]
+        if goes_on:
+            for k in runs:
+                before[k][t["_part"]] = so_far[k]
+        whole = goes_on and t["low"] == t["high"]
+        so_far = {k: _join(op, so_far[k], t[k]) if whole else t[k] for k, (op, _) in runs.items()}
+        held = t["high"]
+    out = {k: F.when(F.col("_head") & (have := _by_part(before[k], kind[k])).isNotNull(), JOINED[op](have, F.col(k))).otherwise(F.col(k)) for k, (op, _) in runs.items()}
+    if index:
+        out[index] = F.col("_row") + _by_part(first, "bigint")
+    return rows.withColumns(out).drop("_part", "_row", "_group", "_head")
+
+
+def _join(op: str, a, b):
+    return {"min": min, "max": max, "any": lambda x, y: x or y, "product": lambda x, y: x * y}.get(op, lambda x, y: x + y)(a, b)

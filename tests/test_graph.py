@@ -144,3 +144,62 @@ def test_generators_stay_in_bounds(spark):
     assert b.edges.count() == 160 and all(side[r.src] != side[r.dst] for r in b.edges.collect())
     z = generators.zipf_graph(spark, 20, 25_000, 1.5).check()
     assert values(z.out_degrees(), "id", "degree") == values(generators.zipf_degrees(spark, 20, 25_000, 1.5), "id", "degree")
+
+
+@pytest.mark.parametrize("op", ["sum", "min", "max", "product", "any"])
+def test_scans_cross_partitions_and_batches(spark, op):
+    """One hub with most messages, beside vertices with few; against a loop."""
+    r = random.Random(3)
+    rows = [(7 if r.random() < 0.7 else r.randrange(20), i, r.randrange(1, 3)) for i in range(3000)]
+    messages = spark.createDataFrame(rows, "id long, slot long, val long").repartition(7)
+    if op in ("product", "any"):
+        messages = messages.withColumn("val", F.col("val").cast("double") / 1.5 if op == "product" else F.col("slot") % 97 == 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {(x.id, x.slot): x.val for x in emv.segmented_scan(messages, op, ["slot"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    join = {"sum": lambda a, b: a + b, "min": min, "max": max, "product": lambda a, b: a * b, "any": lambda a, b: a or b}[op]
+    so_far = {}
+    for x in messages.orderBy("slot").collect():
+        so_far[x.id] = join(so_far[x.id], x.val) if x.id in so_far else x.val
+        assert got[x.id, x.slot] == (pytest.approx(so_far[x.id]) if op == "product" else so_far[x.id])
+    assert len(got) == len(rows) and emv.segmented_scan(messages.limit(0), op, ["slot"]).isEmpty()
+
+
+def test_numbering_shuffles_once(spark):
+    g = _random(spark)
+    plan = layouts.csr(g)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the ranges are materialised; nothing moves after
+
+
+def test_beyond_the_broadcast_bound_edges_stay(spark, monkeypatch):
+    """With edges kept by source, only state, frontier and partial results are shuffled."""
+    g, plans = _random(spark), []
+    real = algorithms.superstep.cut
+    monkeypatch.setattr(algorithms.superstep, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        algorithms.sssp(g, 0, config=RunConfig(broadcast_rows=0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plans = [p.splitlines() for p in plans if "InMemoryTableScan" in p]
+    assert len(plans) > 2
+    for plan in plans:
+        scan = next(i for i, x in enumerate(plan) if "InMemoryTableScan" in x)
+        join = max(i for i, x in enumerate(plan[:scan]) if "Join" in x)
+        assert not any("Exchange" in x for x in plan[join:scan])
+
+
+def test_a_deep_search_ends(spark):
+    n = 130
+    g = graph(spark, range(n), [(i, i + 1, 1.0) for i in range(n - 1)])
+    levels, steps = algorithms.bfs(g, 0)
+    assert values(levels, "id", "level") == {i: i for i in range(n)} and steps == n
+
+
+def test_edge_lists_of_every_vertex_as_stored(spark):
+    g = graph(spark, [1, 2, 3], [(1, 3, 2.0), (1, 2, 7.0), (1, 3, 1.0)])
+    ends = lambda out: F.transform(out, lambda e: e["dst"] * 10 + e["weight"].cast("long"))
+    assert values(emv.edgelist_map(g, ends), "id", "val") == {1: [31, 27, 32], 2: [], 3: []}
+    assert values(emv.edgelist_map(Graph(g.vertices, g.edges.drop("eid")), ends), "id", "val") == {1: [27, 31, 32], 2: [], 3: []}

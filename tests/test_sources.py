@@ -37,3 +37,44 @@ def test_adjacency(spark, tmp_path):
     e = spark.createDataFrame([(1, 2, 1.0), (1, 1, 1.0)], "src long, dst long, weight double")
     text.write_adjacency(Graph(spark.range(1, 3), e), str(tmp_path / "a"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "a")).collect()) == ["1 1 2", "2"]
+
+
+def test_broken_arcs(spark, tmp_path):
+    (tmp_path / "two.txt").write_text("p sp 3 1\np sp 4 1\na 1 3 7\n")
+    with pytest.raises(ValueError, match="one header"):
+        text.read_arcs(spark, str(tmp_path / "two.txt"))
+    (tmp_path / "short.txt").write_text("p sp 3 1\na 1 3\n")
+    with pytest.raises(Exception, match="not an arc: a 1 3"):
+        text.read_arcs(spark, str(tmp_path / "short.txt")).edges.collect()
+
+
+def test_values_of_several_files_and_kinds(spark, tmp_path):
+    folder = tmp_path / "v"
+    folder.mkdir()
+    for k, v in (("b", "2 2\n1"), ("a", "0\n" * 3), ("c", "1 " * 5000)):
+        (folder / f"{k}.txt").write_text(v)
+    got = [r.side for r in text.read_values(spark, str(folder), "side", 5006, 3).orderBy("id").collect()]
+    assert got == [0] * 3 + [2, 2, 1] + [1] * 5000
+    for kinds in (2, 4):
+        with pytest.raises(ValueError, match="values from 0 to 2"):
+            text.read_values(spark, str(folder), "side", kinds=kinds)
+
+
+def test_bipartite_files(spark, tmp_path):
+    (tmp_path / "g").write_text("p sp 3 2\na 1 3 7\na 2 3 1\n")
+    (tmp_path / "s").write_text("0 0 1\n")
+    got = text.read_bipartite(spark, str(tmp_path / "g"), str(tmp_path / "s"))
+    assert sorted((r.src, r.dst) for r in got.edges.collect()) == [(1, 3), (2, 3), (3, 1), (3, 2)]
+    (tmp_path / "s").write_text("0 1 1\n")
+    with pytest.raises(ValueError, match="within one side"):
+        text.read_bipartite(spark, str(tmp_path / "g"), str(tmp_path / "s"))
+
+
+def test_loading_a_partitioned_graph(spark, tmp_path):
+    (tmp_path / "g").write_text("p sp 4 3\na 1 3 1\na 2 1 1\na 3 4 1\n")
+    (tmp_path / "p").write_text("0 0 1 1\n")
+    got = text.load_partitioned(spark, str(tmp_path / "g"), str(tmp_path / "p"), 2, 2)
+    assert sorted(map(tuple, got.replicas.select("part", "id", "hop").collect())) == [(1, 1, 0), (1, 2, 1)]
+    with pytest.raises(ValueError):
+        text.load_partitioned(spark, str(tmp_path / "g"), str(tmp_path / "p"), 3, 2)
+    assert text.load_partitioned(spark, str(tmp_path / "g"), str(tmp_path / "p"), 1, 2).replicas.isEmpty()
