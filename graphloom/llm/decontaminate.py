@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import one_thread, table
-from graphloom.llm.words import Hasher, batches, lettered, owners
+from graphloom.llm.words import Hasher, Letters, batches, owners
 
 BUCKETS, PASSAGE = 1 << 13, 32
 #: Rank of the latent space, and random probes.
@@ -52,12 +52,12 @@ class Passages:
     """Texts -> words with their passages."""
 
     def __init__(self) -> None:
-        self.hasher = Hasher()
+        self.hasher, self.letters = Hasher(), Letters()
 
     def words(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(first text, hash of every word, its text's number in the part, its place in the text)."""
         for first, data, begins in batches([(t or "").lower() for t in texts], 1 << 17):
-            s, e = lettered(data)
+            s, e = self.letters.runs(data)
             owner = owners(begins, s)
             place = np.arange(len(s)) - np.searchsorted(owner, owner)
             yield first, self.hasher.spans(data, s, e), owner, place

@@ -44,6 +44,8 @@ BANDS, ROWS = 24, 4
 SIZE_CLASS = 1.03
 #: Up to so many nodes (16 bytes each) are sent to the executors as a filter; more are joined.
 SENT_NODES = 4_000_000
+#: Among so many tasks the nodes of one class are dealt when they get their class's first document.
+SALTS = 32
 
 
 class Shingles:
@@ -320,8 +322,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                     links = links.union(more)
                     root, many = components(links)
     of = nodes.select("node", "first", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = of.groupBy("root").agg(F.min("first").alias("class"), F.sum("copies").alias("class_size"))
-    of = of.select("node", "root").join(per, "root").select("node", "class", "class_size")
+    per = of.groupBy("root").agg(F.min("first").alias("class"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("nodes"))
+    # a class of many nodes is dealt over SALTS tasks; one of a single node needs nothing of the others
+    per = per.where("nodes > 1").drop("nodes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = of.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(per, ["root", "salt"], "left")
+    of = of.select("node", F.coalesce("class", "first").alias("class"), F.coalesce("class_size", "copies").alias("class_size"))
     out = signed.join(of, "node", "left")
     alone = F.col("class").isNull()
     return out.select(

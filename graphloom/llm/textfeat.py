@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.words import Hasher, batches, lettered, mix, owners, spaced
+from graphloom.llm.words import Hasher, Letters, batches, mix, owners, spaced
 
 BITS = 18
 
@@ -20,7 +20,7 @@ class Features:
     shapes, of tokens that repeat the one before, and of repeated runs of three tokens."""
 
     def __init__(self) -> None:
-        self.hasher = Hasher()
+        self.hasher, self.letters = Hasher(), Letters()
         # shapes: upper, lower and digits are classes; all other bytes stand for themselves
         self.shape = np.arange(256, dtype=np.uint8)
         self.shape[65:91], self.shape[97:123], self.shape[48:58], self.shape[128:] = 1, 2, 3, 2
@@ -44,7 +44,7 @@ class Features:
         low = np.frombuffer(b"\n" + b"\n".join(lower), np.uint8)
         low_begins = np.cumsum([0, *(len(t) + 1 for t in lower[:-1])]) + 1
         # words and their beginnings
-        s, e = lettered(low)
+        s, e = self.letters.runs(low)
         owner = owners(low_begins, s)
         found = [self._keys(owner, self.hasher.spans(low, s, e), 1)]
         long = e - s > 6

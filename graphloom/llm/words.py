@@ -6,7 +6,6 @@ A hash is polynomial over the word's bytes, from running sums, and then mixed; n
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -82,9 +81,8 @@ def spaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(data > 32)
 
 
-@lru_cache(1)
 def letters() -> np.ndarray:
-    """Per code point: 2 for letters (category L), 1 for marks (M), which go on with a word, else 0. Made once a process."""
+    """Per code point: 2 for letters (category L), 1 for marks (M), which go on with a word, else 0. To be made once a task."""
     every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
     out = np.zeros(len(every), np.uint8)
     for pattern, kind in ((r"\p{L}+", 2), (r"\p{M}+", 1)):
@@ -93,28 +91,31 @@ def letters() -> np.ndarray:
     return out
 
 
-_ASCII_LETTERS = np.zeros(256, bool)
-_ASCII_LETTERS[97:123] = True
-_ASCII_LETTERS[128:] = True
+class Letters:
+    """Made once a task: finds runs of letters."""
 
-
-def lettered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of letters in lower-cased UTF-8: a to z, and beyond ASCII what Unicode calls a letter or a mark."""
-    inside = _ASCII_LETTERS[data]
-    lead = np.flatnonzero(data >= 0xC0)
-    if len(lead):
-        first = data[lead]
-        for low, high, size, mask in ((0xC0, 0xE0, 2, 0x1F), (0xE0, 0xF0, 3, 0x0F), (0xF0, 0xF8, 4, 0x07)):
-            at = lead[(first >= low) & (first < high)]
-            if not len(at):
-                continue
-            point = (data[at] & mask).astype(np.int64)
-            for k in range(1, size):
-                point = point << 6 | data[at + k] & 0x3F
-            other = at[letters()[np.minimum(point, 0x10FFFF)] == 0]
-            for k in range(size):
-                inside[other + k] = False
-    return runs(inside)
+    def __init__(self) -> None:
+        self.ascii, self.kinds = np.zeros(256, bool), letters()
+        self.ascii[97:123] = True
+        self.ascii[128:] = True
+
+    def runs(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In lower-cased UTF-8: a to z, and beyond ASCII what Unicode calls a letter or a mark."""
+        inside = self.ascii[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            first = data[lead]
+            for low, high, size, mask in ((0xC0, 0xE0, 2, 0x1F), (0xE0, 0xF0, 3, 0x0F), (0xF0, 0xF8, 4, 0x07)):
+                at = lead[(first >= low) & (first < high)]
+                if not len(at):
+                    continue
+                point = (data[at] & mask).astype(np.int64)
+                for k in range(1, size):
+                    point = point << 6 | data[at + k] & 0x3F
+                other = at[self.kinds[np.minimum(point, 0x10FFFF)] == 0]
+                for k in range(size):
+                    inside[other + k] = False
+        return runs(inside)
 
 
 def owners(begins: np.ndarray, starts: np.ndarray) -> np.ndarray:

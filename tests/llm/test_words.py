@@ -6,9 +6,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from graphloom.llm.textfeat import Features, bounded_sample
-from graphloom.llm.words import REACH, Hasher, batches, lettered, letters, owners, runs, spaced
+from graphloom.llm.words import REACH, Hasher, Letters, batches, letters, owners, runs, spaced
 
-HASHER = Hasher()
+HASHER, LETTERS = Hasher(), Letters()
 
 
 def _hashes(text):
@@ -60,7 +60,7 @@ def test_letters_are_those_of_unicode():
 @given(st.text(alphabet="ab z0-é—ß²½①Ⅷ中あ𠀀😀\u0301\n", max_size=30))
 def test_lettered(text):
     data = np.frombuffer(("\n" + text.lower()).encode(), np.uint8)
-    s, e = lettered(data)
+    s, e = LETTERS.runs(data)
     want = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
     assert [data[a:b].tobytes().decode() for a, b in zip(s, e, strict=True)] == want
 
