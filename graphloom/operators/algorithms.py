@@ -15,13 +15,10 @@ from graphloom.plans.config import RunConfig, as_planned, cut, partitions
 ROWS_A_PART = 1_000_000
 
 
-def _links(edges: DataFrame, small: bool) -> DataFrame:
-    """Edges kept in memory: where their messages are combined, if all state fits into every task; else where state is joined to them."""
-    return edges.repartition(partitions(edges.sparkSession), "dst" if small else "src").persist()
-
-
-def _fits(vertices: DataFrame, config: RunConfig) -> bool:
-    return vertices.limit(config.broadcast_rows + 1).count() <= config.broadcast_rows
+def _placed(edges: DataFrame, small: bool) -> DataFrame:
+    """Edges where their messages are combined, if all state fits into every task; else where state is joined to them. Pairs of
+    ends are grouped there without another shuffle."""
+    return edges.repartition(partitions(edges.sparkSession), "dst" if small else "src")
 
 
 def bfs(graph: Graph, root: int, config: RunConfig | None = None) -> tuple[DataFrame, int]:
@@ -31,9 +28,10 @@ def bfs(graph: Graph, root: int, config: RunConfig | None = None) -> tuple[DataF
     growing size, merged as they come to be alike, so that a deep search doesn't read or write all of it ever again.
     """
     config = config or RunConfig()
-    small = _fits(graph.vertices, config)
-    links = _links(graph.edges.select("src", "dst").distinct(), small)
-    frontier = cut(graph.vertices.where(F.col("id") == root).select("id", F.lit(0).alias("level")))
+    vertices = cut(graph.vertices.select("id"))
+    small = vertices.count() <= config.broadcast_rows
+    links = _placed(graph.edges.select("src", "dst"), small).distinct().persist()
+    frontier = cut(vertices.where(F.col("id") == root).select("id", F.lit(0).alias("level")))
     n, steps = frontier.count(), 0
     seen, sizes = [frontier], [n]
     while config.max_supersteps is None or steps < config.max_supersteps:
@@ -50,7 +48,7 @@ def bfs(graph: Graph, root: int, config: RunConfig | None = None) -> tuple[DataF
             merged = cut(seen[-2].union(seen[-1]).coalesce(max(1, -(-(sizes[-2] + sizes[-1]) // ROWS_A_PART))))
             seen, sizes = [*seen[:-2], merged], [*sizes[:-2], sizes[-2] + sizes[-1]]
     links.unpersist()
-    return graph.vertices.select("id").join(reduce(DataFrame.union, seen), "id", "left"), steps
+    return vertices.join(reduce(DataFrame.union, seen), "id", "left"), steps
 
 
 def sssp(graph: Graph, root: int, dense: bool = False, config: RunConfig | None = None) -> tuple[DataFrame, int]:
@@ -60,11 +58,11 @@ def sssp(graph: Graph, root: int, dense: bool = False, config: RunConfig | None
     With ``dense`` every reached vertex sends each time, to the same end. Weights must not be negative.
     """
     config = config or RunConfig()
-    small = _fits(graph.vertices, config)
-    links = _links(graph.edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w")), small)
+    first = cut(graph.vertices.select("id", F.when(F.col("id") == root, 0.0).alias("d"), (F.col("id") == root).alias("new")))
+    small = first.count() <= config.broadcast_rows
+    links = _placed(graph.edges.select("src", "dst", "weight"), small).groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w")).persist()
     if not links.where("w < 0").isEmpty():
         raise ValueError("weights must not be negative")
-    first = graph.vertices.select("id", F.when(F.col("id") == root, 0.0).alias("d"), (F.col("id") == root).alias("new"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
         # beyond the bound state and partial minima are shuffled; the edges stay where they are either way
@@ -74,7 +72,7 @@ def sssp(graph: Graph, root: int, dense: bool = False, config: RunConfig | None
         joined = state.join(messages, "id", "left")
         return joined.select("id", F.least("d", "m").alias("d"), better.alias("new"))
 
-    state, steps = superstep.run(cut(first), step, lambda s: s.where("new").isEmpty(), config)
+    state, steps = superstep.run(first, step, lambda s: s.where("new").isEmpty(), config)
     links.unpersist()
     return state.select("id", F.col("d").alias("distance")), steps
 
@@ -87,18 +85,18 @@ def pagerank(graph: Graph, supersteps: int = 100, damping: float = 0.85, config:
     """
     config = config or RunConfig()
     spark = graph.edges.sparkSession
-    degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    share = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(degrees, "src")
-    loops = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("p"))
-    links = share.select("src", "dst", (F.col("times") / F.col("degree")).alias("p")).unionByName(loops)
-    small = _fits(graph.vertices, config)
-    links = _links(links, small)
+    first = cut(graph.vertices.select("id", F.lit(1.0).alias("rank")))
+    small = first.count() <= config.broadcast_rows
+    by_source = graph.edges.select("src", "dst").repartition(partitions(spark), "src")  # the one shuffle of both aggregations and their join
+    share = by_source.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
+    share = share.join(share.groupBy("src").agg(F.sum("times").alias("degree")), "src")
+    loops = first.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("p"))
+    links = _placed(share.select("src", "dst", (F.col("times") / F.col("degree")).alias("p")).unionByName(loops), small).persist()
 
     def step(rank: DataFrame, _: int) -> DataFrame:
         given = links.join(F.broadcast(rank) if small else rank, links.src == rank.id)
         return given.groupBy("dst").agg((F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("rank") * F.col("p"))).alias("rank")).select(F.col("dst").alias("id"), "rank")
 
-    first = graph.vertices.select("id", F.lit(1.0).alias("rank"))
     with as_planned(spark, small):
         rank, _ = superstep.run(first, step, None, RunConfig(supersteps, config.checkpoint_every, config.broadcast_rows))
         rank = cut(rank)

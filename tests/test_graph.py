@@ -192,7 +192,7 @@ def test_beyond_the_broadcast_bound_edges_stay(spark, monkeypatch):
 
 
 def test_a_deep_search_ends(spark):
-    n = 130
+    n = 70
     g = graph(spark, range(n), [(i, i + 1, 1.0) for i in range(n - 1)])
     levels, steps = algorithms.bfs(g, 0)
     assert values(levels, "id", "level") == {i: i for i in range(n)} and steps == n
