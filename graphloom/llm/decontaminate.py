@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import one_thread, table
-from graphloom.llm.words import Hasher, Letters, batches, owners
+from graphloom.llm.words import Hasher, Letters, batches
 
 BUCKETS, PASSAGE = 1 << 13, 32
 #: Rank of the latent space, and random probes.
 RANK, PROBES = 208, 224
 #: Passages multiplied at once, and buckets in one part of a sum of sketches.
 BLOCK, PART = 32, 64
+#: Passages held until their products are added to a sketch, and passages of one bucket added at once.
+HELD, ADDED = 1 << 14, 256
 #: Least cosine with an item's window of two passages, and least share of the latent length of an item's window along it, of a
 #: candidate. With a shorter item it is less by the root of the item's share of a window: the window has other words beside it,
 #: and a large benchmark's latent space holds those as well.
@@ -58,9 +60,9 @@ class Passages:
         """(first text, hash of every word, its text's number in the part, its place in the text)."""
         for first, data, begins in batches([(t or "").lower() for t in texts], 1 << 17):
             s, e = self.letters.runs(data)
-            owner = owners(begins, s)
-            place = np.arange(len(s)) - np.searchsorted(owner, owner)
-            yield first, self.hasher.spans(data, s, e), owner, place
+            start = np.searchsorted(s, begins)
+            times = np.diff(start, append=len(s))
+            yield first, self.hasher.spans(data, s, e), np.repeat(np.arange(len(start)), times), np.arange(len(s)) - np.repeat(start, times)
 
     @staticmethod
     def tf(word: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,26 +73,20 @@ class Passages:
         return key // BUCKETS, key % BUCKETS, np.sqrt(times), np.flatnonzero(new)
 
 
-def dense_blocks(row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The sparse n x BUCKETS matrix in blocks of rows: (first row, the buckets that occur, the dense block over these)."""
-    ends, number = np.searchsorted(row, np.arange(0, n + BLOCK, BLOCK)), np.zeros(BUCKETS, np.int64)
-    for i in range(0, n, BLOCK):
-        part = slice(ends[i // BLOCK], ends[i // BLOCK + 1])
-        mark = np.zeros(BUCKETS, bool)
-        mark[at[part]] = True
-        some = np.flatnonzero(mark)
-        number[some] = np.arange(len(some))
-        dense = np.zeros((min(BLOCK, n - i), len(some)), np.float32)
-        dense[row[part] - i, number[at[part]]] = value[part]
-        yield i, some, dense
-
-
 def project(matrix: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """The sparse n x BUCKETS matrix times ``matrix``."""
-    out = np.empty((n, matrix.shape[1]), np.float32)
-    for i, some, dense in dense_blocks(row, at, value, n):
-        out[i : i + BLOCK] = dense @ matrix[some]
-    return out
+    """The sparse n x BUCKETS matrix, of at most PASSAGE values a row, times ``matrix``; only rows of ``matrix`` that count are read."""
+    ends = np.searchsorted(row, np.arange(n + 1))
+    width, place = int(np.diff(ends).max(initial=1)), np.arange(len(row)) - ends[row]
+    out, rows = np.empty((n, 1, matrix.shape[1]), np.float32), np.empty((BLOCK, width, matrix.shape[1]), np.float32)
+    for first in range(0, n, HELD):
+        size, part = min(HELD, n - first), slice(ends[first], ends[min(first + HELD, n)])
+        number, times = np.zeros((size, width), np.int64), np.zeros((size, 1, width), np.float32)
+        number[row[part] - first, place[part]], times[row[part] - first, 0, place[part]] = at[part], value[part]
+        for i in range(0, size, BLOCK):
+            some = rows[: size - i]
+            np.take(matrix, number[i : i + BLOCK], 0, some, "clip")
+            np.matmul(times[i : i + BLOCK], some, out[first + i : first + i + BLOCK])
+    return out[:, 0]
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -122,13 +118,12 @@ def sketch(texts: DataFrame, idf: np.ndarray, probes: int = PROBES, seed: int =
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        passages, idf, omega = Passages(), held.value, _omega(probes, seed)
-        total, any_row = np.zeros((BUCKETS, probes), np.float32), False
+        passages, share = Passages(), Share(held.value, _omega(probes, seed))
         for b in parts:
             for _, word, owner, place in passages.words(b.column(0).to_pylist()):
-                any_row |= len(word) > 0
-                _add(total, *passages.tf(word, owner, place), idf, omega)
-        if any_row:
+                share.add(*passages.tf(word, owner, place))
+        total = share.sum()
+        if total.any():
             some = [k for k in range(BUCKETS // PART) if total[k * PART : (k + 1) * PART].any()]
             sums = [total[k * PART : (k + 1) * PART].tobytes() for k in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums, pa.binary())], names=["part", "y"])
@@ -153,15 +148,46 @@ def _omega(probes: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BUCKETS, probes), dtype=np.float32)
 
 
-def _add(total: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, first: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> None:
-    n = len(first)
-    if not n:
-        return
-    value = (value * idf[at]).astype(np.float32)
-    length = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, n))
-    value = value / np.maximum(length, 1e-12)[row].astype(np.float32)
-    for _, some, dense in dense_blocks(row, at, value, n):
-        total[some] += dense.T @ (dense @ omega[some])
+class Share:
+    """The sum of A'(A Omega) over the passages that are added, rows of A at length 1.
+
+    Passages are held until they are many, so that a bucket's row of the sum is written once for all of its passages.
+    """
+
+    def __init__(self, idf: np.ndarray, omega: np.ndarray) -> None:
+        self.idf, self.omega, self.total = idf, omega, np.zeros((BUCKETS, omega.shape[1]), np.float32)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, first: np.ndarray) -> None:
+        value = (value * self.idf[at]).astype(np.float32)
+        length = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, len(first)))
+        self.parts.append((row + self.n, at, value / np.maximum(length, 1e-12)[row].astype(np.float32)))
+        self.n += len(first)
+        if self.n >= HELD:
+            self._settle()
+
+    def sum(self) -> np.ndarray:
+        if self.n:
+            self._settle()
+        return self.total
+
+    def _settle(self) -> None:
+        row, at, value = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        for i in range(0, self.n, 2 * HELD):  # more than one turn only for a very long text
+            part = slice(*np.searchsorted(row, [i, i + 2 * HELD]))
+            self._put(row[part] - i, at[part], value[part], min(2 * HELD, self.n - i))
+        self.parts, self.n = [], 0
+
+    def _put(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> None:
+        z = project(self.omega, row, at, value, n)
+        order = np.argsort(at.astype(np.int16), kind="stable")
+        row, value, ends = row[order], value[order], np.cumsum(np.bincount(at, minlength=BUCKETS)).tolist()
+        some = np.empty((ADDED, z.shape[1]), np.float32)
+        for k, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+            for i in range(start, end, ADDED):
+                j = min(i + ADDED, end)
+                self.total[k] += value[i:j] @ z.take(row[i:j], 0, some[: j - i], "clip")
 
 
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -218,16 +244,15 @@ def build(texts: DataFrame, items: list[tuple[int, str]], df: np.ndarray, n: int
     if not kept:
         return None
     idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + np.float32(1e-3)
-    total = np.zeros((BUCKETS, corpus.shape[1]), np.float32)
-    omega, rows = _omega(corpus.shape[1], seed), 0
+    share, rows = Share(idf, _omega(corpus.shape[1], seed)), 0
     for _, word, owner, place in passages.words([items[i][1] for i in kept]):
         got = passages.tf(word, owner, place)
         rows += len(got[3])
-        _add(total, *got, idf, omega)
-    y = corpus + total.astype(np.float64) * max(n, 1) / max(rows, 1)  # of one matrix: the corpus's rows and the weighted ones of the benchmark
+        share.add(*got)
+    y = corpus + share.sum().astype(np.float64) * max(n, 1) / max(rows, 1)  # of one matrix: the corpus's rows and the weighted ones of the benchmark
     u, s, _ = np.linalg.svd(y, full_matrices=False)
     rank = min(RANK, int((s > 1e-9 * s[0]).sum()))
-    space = (u[:, :rank] * idf[:, None]).astype(np.float32)
+    space = np.ascontiguousarray(u[:, :rank] * idf[:, None], np.float32)
     windows = [(k, part) for k, i in enumerate(kept) for part in item_windows(found[i])]
     latent, owner = np.stack([_latent(space, part) for _, part in windows]), np.array([k for k, _ in windows])
     length = np.sqrt((latent**2).sum(1))
@@ -264,10 +289,26 @@ class Search:
         self.known, ids = np.unique(np.concatenate([np.array(w, np.uint64) for w in index.words]), return_inverse=True)
         self.ids, self.here = np.split(ids, np.cumsum(self.size)[:-1]), np.zeros(len(self.known) + 1, bool)
         self.masks = lru_cache(4096)(self._masks)
+        # where the known words of every first bits begin, and the most of them with the same
+        self.shift = np.uint64(64 - max(16, len(self.known).bit_length() + 2))
+        self.begin = np.searchsorted(self.known >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64))
+        self.most = int(np.diff(self.begin, append=len(self.known)).max())
 
     def _masks(self, item: int) -> tuple[dict[int, int], dict[int, int]]:
         return places(self.index.words[item]), places(self.index.answers[item])
 
+    def numbers(self, word: np.ndarray) -> np.ndarray:
+        """The number of each word among those of items, or one beyond."""
+        n = len(self.known)
+        at = self.begin[word >> self.shift]
+        out = np.where(self.known[np.minimum(at, n - 1)] == word, at, n)
+        for k in range(1, self.most):
+            left = np.flatnonzero(out == n)
+            next_at = np.minimum(at[left] + k, n - 1)
+            same = self.known[next_at] == word[left]
+            out[left[same]] = next_at[same]
+        return out
+
     def _possible(self, part: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Whether so many words of each item are in ``part``, in any order, that the common subsequence can be long enough."""
         self.here[part] = True
@@ -277,17 +318,23 @@ class Search:
         self.here[part] = False
         return shared >= LCS * self.size[items]
 
-    def compared(self, item: int, words: list[int]) -> tuple[float, float]:
-        """The share of the item that its longest common subsequence with ``words`` has, and of its answer.
+    def compared(self, item: int, word: np.ndarray, known: np.ndarray) -> tuple[float, float]:
+        """The share of the item that its longest common subsequence with the words has, and of its answer; 0 if the share is below LCS.
 
         An item shorter than a passage is sought in stretches of twice its length, so that its words don't match
-        by chance here and there, and at least LEAST of them must be in common.
+        by chance here and there, and at least LEAST of them must be in common. A stretch with fewer than LCS of the item's words,
+        in any order, has no longer subsequence.
         """
         masks, answer = self.masks(item)
         size, answer_size, best = int(self.size[item]), len(self.index.answers[item]), (0.0, 0.0)
-        reach, step = (2 * size, max(1, size // 2)) if size < PASSAGE else (len(words), len(words) + 1)
-        for i in range(0, max(len(words) - size, 1), step):
-            part = words[i : i + reach]
+        reach, step = (2 * size, max(1, size // 2)) if size < PASSAGE else (len(word), len(word) + 1)
+        self.here[self.ids[item]] = True
+        shared = np.append(0, np.cumsum(self.here[known]))
+        self.here[self.ids[item]] = False
+        begins = np.arange(0, max(len(word) - size, 1), step)
+        enough = (shared[np.minimum(begins + reach, len(word))] - shared[begins]) / size >= LCS
+        for i in begins[enough].tolist():
+            part = word[i : i + reach].tolist()
             common = lcs(masks, size, part)
             if common >= min(LEAST, size) and common / size >= best[0]:
                 best = max(best, (common / size, lcs(answer, answer_size, part) / answer_size if answer_size else 1.0))
@@ -305,8 +352,7 @@ class Search:
             z[:-1][own[:-1] == own[1:]] += z[1:][own[:-1] == own[1:]]  # a window: a passage and the next of its text
             length = np.sqrt((z**2).sum(1)) + 1e-9
             ends = np.searchsorted(owner, np.arange(owner[-1] + 2))
-            known = np.searchsorted(self.known, word)  # the number of each word among those of items, or one beyond
-            known[self.known[np.minimum(known, len(self.known) - 1)] != word] = len(self.known)
+            known = self.numbers(word)
 
             def around(w: int, last: int, size: int, ends=ends, own=own, start=start) -> slice:
                 # a passage more on either side, and as many words again as a long item has
@@ -316,8 +362,9 @@ class Search:
             hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
             for block in range(0, len(x.owner), 1024):
                 dot = z @ x.latent[block : block + 1024].T
-                near = (dot >= x.least[block : block + 1024] * length[:, None]) & (dot >= COVERAGE * x.length[block : block + 1024])
-                windows, pieces = np.nonzero(near)
+                windows, pieces = np.divmod(np.flatnonzero(dot >= COVERAGE * x.length[block : block + 1024]), dot.shape[1])
+                near = dot[windows, pieces] >= x.least[pieces + block] * length[windows]
+                windows, pieces = windows[near], pieces[near]
                 cosine, items = dot[windows, pieces] / length[windows], x.owner[pieces + block]
                 kept = self.size[items] > 2 * PASSAGE  # these are looked at below, with their neighbours
                 for some in np.split(np.arange(len(windows)), np.flatnonzero(np.diff(windows)) + 1):
@@ -337,7 +384,7 @@ class Search:
                     part = around(w, group[-1][0], size)
                     if reach and not self._possible(known[part], np.array([item]))[0]:
                         continue
-                    share, told = self.compared(item, word[part].tolist())
+                    share, told = self.compared(item, word[part], known[part])
                     if share >= LCS_ALONE or share >= LCS and told >= ANSWER:
                         best = max(best, *((share, c, told, -int(place[start[v]])) for v, c in group))
                 if best[0]:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import decontaminate as decontaminate_
 from graphloom.llm.decontaminate import Passages, answer_of, decontaminate, find, lcs, op2_latent_leaks, places
 
 
@@ -102,6 +103,106 @@ def test_the_sketch_is_of_one_matrix(spark, docs_of):
     assert len(a) == n and np.allclose(sketch(texts, idf, 20), a.T @ (a @ _omega(20, 3)), atol=1e-3)
 
 
+def _products(texts):
+    """(row, bucket, value, n) of the passages of texts."""
+    p = Passages()
+    for _, word, owner, place in p.words(texts):
+        row, at, value, first = p.tf(word, owner, place)
+        yield row, at, value, len(first)
+
+
+def test_products_against_dense_ones(spark, sf_dir):
+    """Of one part, and of a sum over more passages than are held or added at once."""
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    omega, idf = decontaminate_._omega(20, 3), np.linspace(0.1, 5, decontaminate_.BUCKETS, dtype=np.float32)
+    share, want, n_all = decontaminate_.Share(idf, omega), 0, 0
+    for row, at, value, n in _products(texts):
+        a = np.zeros((n, decontaminate_.BUCKETS))
+        a[row, at] = value
+        assert np.allclose(decontaminate_.project(omega, row, at, value, n), a @ omega, atol=1e-3)
+        a *= idf
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        times = -(-2 * decontaminate_.HELD // n)
+        for _ in range(times):
+            share.add(row, at, value, np.zeros(n))
+        want, n_all = want + times * (a.T @ (a @ omega)), n_all + n * times
+    assert n_all > 2 * decontaminate_.HELD and np.allclose(share.sum(), want, rtol=1e-3, atol=1e-4 * np.abs(want).max())
+    times = -(-5 * decontaminate_.HELD // n)  # the last part as one very long text
+    long = np.concatenate([row + i * n for i in range(times)]), np.tile(at, times), np.tile(value, times)
+    assert np.allclose(decontaminate_.project(omega, *long, times * n), np.tile(decontaminate_.project(omega, row, at, value, n), (times, 1)))
+    share, want = decontaminate_.Share(idf, omega), times * (a.T @ (a @ omega))
+    share.add(*long, np.zeros(times * n))
+    assert np.allclose(share.sum(), want, rtol=1e-3, atol=1e-4 * np.abs(want).max())
+    assert decontaminate_.project(omega, np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0).shape == (0, 20)
+
+
+def test_products_cost_what_their_words_do(spark, sf_dir):
+    """At most 0.75 of the CPU seconds of products in dense blocks of 32 passages, over all buckets that occur in a block."""
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    parts = list(_products(texts))
+
+    def measure(_):
+        import time
+
+        decontaminate_.one_thread()
+        matrix = np.random.default_rng(1).standard_normal((decontaminate_.BUCKETS, 208), dtype=np.float32)
+
+        def dense(row, at, value, n):
+            out, ends = np.empty((n, matrix.shape[1]), np.float32), np.searchsorted(row, np.arange(0, n + 32, 32))
+            number = np.zeros(decontaminate_.BUCKETS, np.int64)
+            for i in range(0, n, 32):
+                part, mark = slice(ends[i // 32], ends[i // 32 + 1]), np.zeros(decontaminate_.BUCKETS, bool)
+                mark[at[part]] = True
+                some = np.flatnonzero(mark)
+                number[some] = np.arange(len(some))
+                block = np.zeros((min(32, n - i), len(some)), np.float32)
+                block[row[part] - i, number[at[part]]] = value[part]
+                out[i : i + 32] = block @ matrix[some]
+
+        def seconds(f):
+            begin = time.process_time()
+            for x in parts * 10:
+                f(*x)
+            return time.process_time() - begin
+
+        both = [(seconds(lambda *x: decontaminate_.project(matrix, *x)), seconds(dense)) for _ in range(6)]
+        return tuple(min(x) for x in zip(*both, strict=True))
+
+    mine, dense = spark.sparkContext.parallelize([0], 1).map(measure).collect()[0]
+    assert mine <= 0.75 * dense, (mine, dense)
+
+
+def test_only_stretches_with_enough_words_are_compared(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # without sentences an item is its own answer
+    items = [(r.item_id, _plain(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    shares, plain = [], decontaminate_.lcs
+
+    def counted(masks, size, words):
+        shares.append(sum(w in masks for w in words) / size)
+        return plain(masks, size, words)
+
+    monkeypatch.setattr(decontaminate_, "lcs", counted)
+    (index,) = decontaminate_.indexes(docs, spark.createDataFrame(items, "item_id long, text string"))
+    texts = [r.text for r in docs.collect()]
+    got = {(texts[x[0]], index.items[x[1]]) for x in decontaminate_.Search(index)(texts)}
+    assert got == {(t, i) for t in texts for i, q in items if q in _plain(t)}
+    assert shares and min(shares) >= decontaminate_.LCS
+
+
+def test_numbers_of_words(spark, docs_of):
+    """By a table of first bits, words with the same ones too, as by a plain search."""
+    _, text, items, docs = _setting(6)
+    d, b = _frames(spark, docs_of, docs, items)
+    (index,) = decontaminate_.indexes(d, b)
+    r = random.Random(7)
+    index.words = [[w ^ r.randrange(1 << 40) for w in words for _ in range(4)] for words in index.words]
+    search = decontaminate_.Search(index)
+    known = {w: k for k, w in enumerate(search.known.tolist())}
+    some = [w ^ x for w in known for x in (0, 1, 1 << 30)] + [0, 2**64 - 1]
+    assert search.most > 1 and search.numbers(np.array(some, np.uint64)).tolist() == [known.get(w, len(known)) for w in some]
+
+
 def test_short_items_of_a_large_benchmark(spark, sf_dir, docs_of):
     """20,000 items, many more than the latent space has directions; those of 15 to 19 words are planted as they are."""
     r = random.Random(4)
