@@ -5,7 +5,11 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +74,16 @@ def one_thread() -> None:
                 getattr(library, name)(1)
 
 
+def slices(parts: Iterator[pa.RecordBatch], at_text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """In a Python worker: the rows of the batches, in order, in pieces of about ``size`` bytes of text, so that what is made of
+    a piece stays small whatever a batch holds. A longer text is in a piece with at most that much before it."""
+    for b in parts:
+        length = pc.fill_null(pc.binary_length(b.column(at_text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        starts = np.flatnonzero(np.diff((np.cumsum(length) - length) // size, prepend=-1)).tolist()
+        for i, j in zip(starts, [*starts[1:], b.num_rows], strict=False):
+            yield b.slice(i, j - i)
+
+
 def fresh(df: DataFrame, *wanted: str) -> dict[str, str]:
     """Names for working columns that do not clash with those ``df`` has, whatever their case."""
     have = {c.lower() for c in df.columns}

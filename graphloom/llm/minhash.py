@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, fresh, settle, small, table
+from graphloom.llm.common import cut, fresh, settle, slices, small, table
 from graphloom.llm.components import components
 from graphloom.llm.words import Hasher, batches, mix, owners, spaced
 
@@ -171,7 +171,7 @@ def signatures(rows: DataFrame) -> DataFrame:
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, darts = Shingles(), Darts()
-        for b in parts:
+        for b in slices(parts, 2):
             texts = [t or "" for t in b.column(2).to_pylist()]
             nodes, sizes, bands = [], [], []
             for _, n, owner, h, weight in shingles(texts):
@@ -193,11 +193,15 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for b in parts:
-            if chosen is not None:
-                row = b.column(0).to_numpy()
-                at = np.minimum(np.searchsorted(chosen.value, row), max(0, len(chosen.value) - 1))
-                b = b.filter(pa.array(chosen.value[at] == row if len(chosen.value) else np.zeros(len(row), bool)))
+
+        def pick(b: pa.RecordBatch) -> pa.RecordBatch:
+            if chosen is None:
+                return b
+            row = b.column(0).to_numpy()
+            at = np.minimum(np.searchsorted(chosen.value, row), max(0, len(chosen.value) - 1))
+            return b.filter(pa.array(chosen.value[at] == row if len(chosen.value) else np.zeros(len(row), bool)))
+
+        for b in slices(map(pick, parts), 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             nodes, sets = [], []
             for _, n, *weighted in shingles(texts):
@@ -257,7 +261,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose sets have at least this Jaccard similarity."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in slices(parts, 2):
             left, right = (b.column(i).to_pylist() for i in (2, 3))
             keep = []
             for x, y in zip(left, right, strict=True):

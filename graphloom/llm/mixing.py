@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, fresh, table
+from graphloom.llm.common import cut, fresh, slices, table
 from graphloom.llm.textfeat import BITS, Design, Features, bounded_sample, collect_features
 
 PER_DOMAIN = 400
@@ -97,7 +97,7 @@ def with_posteriors(docs: DataFrame, model: Posterior, text_col: str, tokens: st
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), Posterior(*held.value)
-        for b in batches:
+        for b in slices(batches, at_text):
             texts = b.column(at_text).to_pylist()
             n = [len((t or "").split()) for t in texts]
             post = np.round(m(len(texts), *features(texts)), 9)

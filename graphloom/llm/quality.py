@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import slices, table
 from graphloom.llm.textfeat import BITS, Design, Features, bounded_sample, collect_features
 
 PER_GRADE = 2500
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text", keep_f
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), held.value and Ordinal(*held.value)
-        for b in batches:
+        for b in slices(batches, at_text):
             grade, tail, keep = _judge(features, m, b.column(at_text).to_pylist(), keep_from)
             unknown = pa.nulls(b.num_rows, pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, unknown if grade is None else pa.array(grade), unknown if tail is None else pa.array(tail), pa.array(keep)], names=[*kept, *added])
@@ -153,7 +153,7 @@ def select_quality(docs: DataFrame, model: Ordinal | None, text_col: str = "text
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), held.value and Ordinal(*held.value)
-        for b in batches:
+        for b in slices(batches, at_text):
             yield b.filter(pa.array(_judge(features, m, b.column(at_text).to_pylist(), keep_from)[2]))
 
     return docs.mapInArrow(read, docs.schema)

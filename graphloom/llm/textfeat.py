@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import slices
 from graphloom.llm.words import Hasher, Letters, batches, mix, owners, spaced
 
 BITS = 18
@@ -120,7 +121,7 @@ def collect_features(rows: DataFrame, class_col: str, text_col: str) -> tuple[li
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for b in parts:
+        for b in slices(parts, 1):
             row, at, value = features(b.column(1).to_pylist())
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
             at, value = at.astype(np.int32), value.astype(np.float32)

@@ -1,11 +1,16 @@
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
-from graphloom.llm.textfeat import Features, bounded_sample
+from graphloom.llm import mixing, quality
+from graphloom.llm.common import slices
+from graphloom.llm.textfeat import BITS, Features, bounded_sample
 from graphloom.llm.words import REACH, Hasher, Letters, batches, letters, owners, runs, spaced
 
 HASHER, LETTERS = Hasher(), Letters()
@@ -79,3 +84,53 @@ def test_samples_keep_every_class(spark, n):
     every = rows.where("k = 'a'").selectExpr("id", "shiftrightunsigned(xxhash64('sample', id, text), 1) AS h").orderBy("h").limit(50).collect()
     assert {r.id for r in got if r.k == "a"} == {r.id for r in every}
     assert bounded_sample(rows.limit(0), "k", ["id", "text"], 50)[0].isEmpty()
+
+
+class _Table:
+    """Stands for a DataFrame and its session, and holds the function that a worker would run."""
+
+    columns, schema = ["doc_id", "text"], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def __init__(self):
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, read, _):  # noqa: N802
+        self.read = read
+
+
+@pytest.mark.parametrize("stage", ["keep", "grade", "posterior"])
+def test_a_worker_holds_little_of_a_large_batch(stage):
+    """The memory that judging texts takes does not follow the number of a batch's rows."""
+    table, weights = _Table(), np.ones(1 << BITS, np.float32)
+    ordinal = quality.Ordinal(weights, np.array([-1e9, -1e9]), [0, 1, 2])
+    if stage == "keep":
+        quality.select_quality(table, ordinal)
+    elif stage == "grade":
+        quality.score(table, ordinal)
+    else:
+        mixing.with_posteriors(table, mixing.Posterior(["a", "b"], np.stack([weights, -weights], 1), np.zeros(2)), "text", "n", "p")
+    texts = [" ".join(f"{chr(97 + k % 26) * (1 + k % 9)}{chr(97 + i % 23)}" for k in range(300)) for i in range(8000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array(texts)], names=table.columns)
+    tracemalloc.start()
+    try:
+        ids = [i for b in table.read(iter([batch])) for i in b.column(0).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ids == list(range(8000)) and peak < 40e6
+
+
+def test_slices_keep_rows_and_bound_bytes():
+    texts = [None, "", "é" * 30, "x" * 500, *["ab"] * 200, "y" * 90, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["i", "t"])
+    got = list(slices(iter([batch.slice(0, 0), batch, batch.slice(3, 9)]), 1, 100))
+    assert [r for b in got for r in b.to_pylist()] == batch.to_pylist() + batch.slice(3, 9).to_pylist()
+    assert all(sum(len((t or "").encode()) + 1 for t in b.column(1).to_pylist()[:-1]) <= 100 for b in got) and len(got) > 8
+    assert not list(slices(iter([batch.slice(0, 0)]), 1))
