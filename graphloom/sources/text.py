@@ -39,7 +39,8 @@ def read_values(spark: SparkSession, path: str, name: str, vertices: int | None
     """(id, name): the i-th whole number belongs to vertex i, from 1 (parts, or sides of a bipartite graph).
 
     Of several files the one of the lesser name comes first. With ``vertices`` there must be as many numbers, with ``kinds`` they
-    must be 0 to ``kinds`` - 1, the last one among them.
+    must be 0 to ``kinds`` - 1, the last one among them. A line is two bytes, and Spark takes the rows for as few: the hint keeps
+    it from sending all vertices through the driver.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
@@ -51,7 +52,7 @@ def read_values(spark: SparkSession, path: str, name: str, vertices: int | None
         raise ValueError(f"{path} has {found.n} values for {vertices} vertices")
     if kinds is not None and (found.high is None or found.low < 0 or found.high + 1 != kinds):
         raise ValueError(f"{path} has values from {found.low} to {found.high}, not 0 to {kinds - 1}")
-    return out
+    return out.hint("merge")
 
 
 def write_values(values: DataFrame, path: str, name: str) -> None:

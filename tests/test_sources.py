@@ -78,3 +78,13 @@ def test_loading_a_partitioned_graph(spark, tmp_path):
     with pytest.raises(ValueError):
         text.load_partitioned(spark, str(tmp_path / "g"), str(tmp_path / "p"), 3, 2)
     assert text.load_partitioned(spark, str(tmp_path / "g"), str(tmp_path / "p"), 1, 2).replicas.isEmpty()
+
+
+def test_values_are_not_broadcast_for_their_short_lines(spark, tmp_path):
+    (tmp_path / "g").write_text("p sp 4 3\na 1 3 1\na 2 1 1\na 3 4 1\n")
+    (tmp_path / "p").write_text("0 0 1 1\n")
+    got = text.load_partitioned(spark, str(tmp_path / "g"), str(tmp_path / "p"), 2, 2)
+    by_end = got.owners.select(got.owners["id"].alias("dst"), "part")
+    plan = got.graph.edges.join(by_end, "dst")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, got.edges.collect())) == [(0, 2, 1), (1, 1, 3), (1, 2, 1), (1, 3, 4)]
