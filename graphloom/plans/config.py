@@ -41,16 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def as_planned(spark: SparkSession, when: bool = True) -> Iterator[None]:
-    """Without adaptive execution, which plans a chain of supersteps anew after each of its broadcasts.
+def blocks_kept(spark: SparkSession) -> Iterator[None]:
+    """Lets a join by (block, id) take what is partitioned by ``block`` as it lies.
 
-    For chains whose sizes are known; what is made inside should be materialised inside. The setting is the session's: a
-    thread that shares the session should not plan meanwhile.
+    The setting is the session's: a thread that shares the session should not plan meanwhile, and what is made inside should be
+    materialised inside.
     """
-    key = "spark.sql.adaptive.enabled"
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(key)
-    if when:
-        spark.conf.set(key, "false")
+    spark.conf.set(key, "false")
     try:
         yield
     finally:
@@ -61,6 +60,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocks(vertices: DataFrame, n: int) -> Callable[[str], Column]:
+    """The block of an id: n ranges of ids with about as many vertices each, labelled so that by their hash each has a partition of its own.
+
+    Edges between ids that lie close together stay in a block, and what is sent along them is combined there.
+    """
+    ends = vertices.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    ends = sorted(set(ends or []))
+    label = vertices.sparkSession.range(32 * n).select(F.col("id").cast("int").alias("label"))
+    label = label.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("at")).agg(F.min("label").alias("label")).collect()  # a row a partition
+    labels = [r.label for r in label] + list(range(32 * n, 33 * n - len(label)))
+
+    def of(id: str, low: int = 0, high: int = len(ends)) -> Column:
+        if low == high:
+            return F.lit(labels[low])
+        middle = (low + high) // 2
+        return F.when(F.col(id) <= ends[middle], of(id, low, middle)).otherwise(of(id, middle + 1, high))
+
+    return of
+
+
 def _by_part(values: list, kind: str) -> Column:
     """values[_part], from a text that the optimizer folds into an array: a value a partition, empty for none."""
     at = F.get(F.split(F.lit(";".join("" if v is None else str(v) for v in values)), ";"), F.col("_part"))

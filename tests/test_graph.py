@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import generators
 from graphloom.operators import algorithms, emv, layouts, partitioning, stats
 from graphloom.operators.graph import Graph
-from graphloom.plans.config import RunConfig, numbered
+from graphloom.plans.config import RunConfig, blocks, numbered
 
 
 def graph(spark, ids, edges):
@@ -203,3 +203,66 @@ def test_edge_lists_of_every_vertex_as_stored(spark):
     ends = lambda out: F.transform(out, lambda e: e["dst"] * 10 + e["weight"].cast("long"))
     assert values(emv.edgelist_map(g, ends), "id", "val") == {1: [31, 27, 32], 2: [], 3: []}
     assert values(emv.edgelist_map(Graph(g.vertices, g.edges.drop("eid")), ends), "id", "val") == {1: [27, 31, 32], 2: [], 3: []}
+
+
+def _ranks_by_loop(edges, n, steps):
+    out = {i: [d for s, d in edges if s == i] for i in range(n)}
+    rank = dict.fromkeys(range(n), 1.0)
+    for _ in range(steps):
+        got = dict.fromkeys(range(n), 0.0)
+        for s, ends in out.items():
+            for d in ends:
+                got[d] += rank[s] / len(ends)
+        rank = {i: 0.15 + 0.85 * v for i, v in got.items()}
+    return rank
+
+
+@pytest.mark.parametrize("bound", [0, 15, 1000])
+def test_pagerank_against_a_loop(spark, bound):
+    r = random.Random(8)
+    edges = [(r.randrange(30), r.randrange(40)) for _ in range(90)]  # with sinks, loops, parallel edges and a vertex or two by itself
+    g = graph(spark, range(40), [(*e, 1.0) for e in edges])
+    for steps in (0, 1, 2, 3, 14):
+        got = values(algorithms.pagerank(g, steps, config=RunConfig(broadcast_rows=bound, checkpoint_every=4)), "id", "rank")
+        assert got == pytest.approx(_ranks_by_loop(edges, 40, steps), abs=1e-13)
+
+
+@pytest.fixture
+def rows_kept(monkeypatch):
+    """The rows of whatever is materialised by a search or PageRank."""
+    sizes, real = [], algorithms.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(algorithms, "cut", counted)
+    monkeypatch.setattr(algorithms.superstep, "cut", counted)
+    return sizes
+
+
+def test_pagerank_moves_changes_only(spark, rows_kept):
+    """Along a path a change wanders from the first vertex to the last; there the supersteps end."""
+    n = 8
+    edges = [(i, i + 1) for i in range(n - 1)]
+    got = values(algorithms.pagerank(graph(spark, range(n), [(*e, 1.0) for e in edges]), 100), "id", "rank")
+    assert got == pytest.approx(_ranks_by_loop(edges, n, 100), abs=1e-13)
+    assert sum(rows_kept) <= 5 * n
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_searches_keep_what_is_reached(spark, rows_kept, dense):
+    g = graph(spark, range(60), [(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (40, 41, 1.0)])
+    found, steps = algorithms.sssp(g, 1, dense, RunConfig(broadcast_rows=2))  # few senders are broadcast whatever the graph's size
+    assert {k: v for k, v in values(found, "id", "distance").items() if v is not None} == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert steps == 4 and sum(rows_kept) <= 60 + 4 * 5
+
+
+def test_blocks_are_ranges_with_a_partition_each(spark):
+    ids = spark.range(0, 4000, 4)
+    placed = ids.withColumn("block", blocks(ids, 5)("id")).repartition(5, "block")
+    got = placed.groupBy(F.spark_partition_id().alias("p"), "block").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
+    assert len(got) == len({r.p for r in got}) == 5 and all(150 < r.n < 250 for r in got)
+    assert all(a.high < b.low for a, b in zip(got, got[1:]))
+    assert [r.b for r in spark.range(3).select(blocks(ids.limit(0), 3)("id").alias("b")).distinct().collect()] != []
