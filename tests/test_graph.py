@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import generators
 from graphloom.operators import algorithms, emv, layouts, partitioning, stats
 from graphloom.operators.graph import Graph
+from graphloom.plans import queries
 from graphloom.plans.config import RunConfig, blocks, numbered
 
 
@@ -266,3 +267,10 @@ def test_blocks_are_ranges_with_a_partition_each(spark):
     assert len(got) == len({r.p for r in got}) == 5 and all(150 < r.n < 250 for r in got)
     assert all(a.high < b.low for a, b in zip(got, got[1:]))
     assert [r.b for r in spark.range(3).select(blocks(ids.limit(0), 3)("id").alias("b")).distinct().collect()] != []
+
+
+def test_both_searches_of_the_selfcheck_share_edges_and_root(spark, sf_dir, monkeypatch):
+    roots, real = [], queries._root
+    monkeypatch.setattr(queries, "_root", lambda g: (roots.append(g.edges.is_cached), real(g))[1])
+    assert queries.sssp_selfcheck(spark, sf_dir).first()[0] == 0
+    assert roots == [True]
